@@ -51,3 +51,16 @@ def all_of(conditions: list[Column]) -> Column:
 def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text alone, a null text as an empty one; other columns can't clash with ours."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def apart(c: Column) -> Column:
+    """c, a long, as an expression Spark doesn't know a side to be dealt by already.
+
+    Joined by it, that side is shuffled for the join itself, so adaptive execution may split a hot key of the other side.
+    """
+    return c.bitwiseXOR(F.lit(0).cast("long"))
+
+
+def apart_binary(c: Column) -> Column:
+    """The same for hashes of 16 bytes."""
+    return F.substring(c, 1, 16)

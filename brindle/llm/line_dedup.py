@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, document_rows, table, text_key
+from .common import BLANKS, apart_binary, ascii_lower, document_rows, table, text_key
 
 
 def _without(lines: Column, gone: Column) -> Column:
@@ -51,7 +51,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lines.select("key", "doc_id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     )
     gone = (
-        lines.join(common.select("key", "keeper"), "key")
+        lines.join(common.select(apart_binary(F.col("key")).alias("key"), "keeper"), "key")
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id", "row")
         .agg(F.array_sort(F.collect_set("pos")).alias("gone"))
