@@ -64,3 +64,8 @@ def apart(c: Column) -> Column:
 def apart_binary(c: Column) -> Column:
     """The same for hashes of 16 bytes."""
     return F.substring(c, 1, 16)
+
+
+def bind(value: Column, f) -> Column:
+    """f(value) with value computed once, even where f reads it inside other lambdas: the optimiser can't copy it there."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, sharding, simhash
+from . import decontaminate, line_dedup, sharding, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op7_sharding": sharding.op7_sharding,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
+}
