@@ -146,16 +146,18 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
         raise ValueError("a window has at least two words")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("key"), text_key(text).alias("row"), text.alias("text"))
-    texts = rows.select("key", "row", F.col("text").cast("binary").alias("text"))
+    texts = rows.select("row", F.col("text").cast("binary").alias("text"))
     same = F.unhex(F.md5(F.col("text").cast("binary")))
 
-    halves = texts.select("row", "text").mapInArrow(_half_windows(window), "half long, row long, pos int")
+    halves = texts.mapInArrow(_half_windows(window), "half long, row long, pos int")
     shared = halves.groupBy("half").agg(F.min("row").alias("a"), F.max("row").alias("b")).where(F.col("a") < F.col("b"))
     alive = halves.join(shared.select(apart(F.col("half")).alias("half")), "half").groupBy("row").agg(F.collect_set("pos").alias("alive"))
 
     firsts = rows.select(same.alias("same"), "row", "key").groupBy("same").agg(F.min("key").alias("first"), F.min("row").alias("first_row"))
     spread = firsts.select("first", "first_row").join(alive.select(F.col("row").alias("first_row"), "alive"), "first_row")
-    around = texts.join(spread, (F.col("key") == F.col("first")) & (F.col("row") == F.col("first_row"))).select("key", "row", "text", "alive")
+    # all columns of rows go in, here as in the last join, so that one shuffle of the texts serves both
+    around = rows.join(spread, (F.col("key") == F.col("first")) & (F.col("row") == F.col("first_row")))
+    around = around.select("key", "row", F.col("text").cast("binary").alias("text"), "alive", "doc_id")
     # the same text may stand in several rows of one doc_id; its windows are then told twice, which changes nothing
     wholes = around.mapInArrow(_whole_windows(window), "whole binary, key long, row long, pos int")
     repeated = wholes.groupBy("whole").agg(F.min("key").alias("least"), F.max("key").alias("most")).where(F.col("least") < F.col("most"))
