@@ -117,6 +117,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, k: int
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the contaminated rows, whole as they were."""
+    bad = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row"))
+    row = text_key(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("bad_id")) & (row == F.col("bad_row")), "left_anti")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(

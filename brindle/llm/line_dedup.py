@@ -26,8 +26,8 @@ def _without(lines: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), lines).otherwise(F.flatten(parts))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """One row for each row of docs: doc_id, text (the lines that stay), n_lines, n_dropped.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, whole: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, text (the lines that stay), n_lines, n_dropped; if whole is set also doc, the row of docs.
 
     A line's key is the line without blanks at its ends, A-Z lower-cased. Keys of at least min_chars code points in at
     least min_docs documents lose all their lines except in the largest doc_id that holds them; there every line stays.
@@ -57,17 +57,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.array_sort(F.collect_set("pos")).alias("gone"))
         .select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "gone")
     )
-    whole = rows.select("doc_id", "text", text_key(F.col("text")).alias("row"))
-    joined = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left")
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("doc")] if whole else []
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row).withColumn("row", text_key(F.col("text")))
+    joined = kept.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left")
     lines = F.split("text", "\n", -1)
     return joined.select(
         "doc_id",
         F.array_join(_without(lines, F.col("gone")), "\n").alias("text"),
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        *(["doc"] if whole else []),
     )
 
 
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs, whole as they were but for the lines that line_dedup() drops. A null text is an empty one."""
+    out = line_dedup(docs, id_col, text_col, whole=True, **options)
+    return out.select(*[F.col("text" if c == text_col else f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

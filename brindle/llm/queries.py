@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, line_dedup, pii, quality, secrets, sharding, simhash, substring_dedup
+import corpus_pipeline
+
+from . import bpe, decontaminate, language, line_dedup, pii, quality, secrets, sharding, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
@@ -14,10 +16,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": simhash.op3_simhash,
     "op4_language": language.op4_language,
     "op5_quality": quality.op5_quality,
+    "op6_bpe": bpe.op6_bpe,
     "op7_sharding": sharding.op7_sharding,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_pii": pii.op10_pii,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
