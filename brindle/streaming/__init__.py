@@ -1,0 +1 @@
+"""Every source of this engine is bounded, so nothing here runs continuously."""
