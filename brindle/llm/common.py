@@ -39,6 +39,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From now on Arrow batches to Python hold most bytes at most, or one row: a worker, of which an executor runs several, has few texts at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
 def text_key(text: Column) -> Column:
     """With the document's id this names a row: rows that agree in both are copies and get the same answer."""
     return F.xxhash64(text)
@@ -53,6 +61,12 @@ def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row (a hash of the text) and doc, the whole row: none of its columns can clash with ours."""
+    row = text_key(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def apart(c: Column) -> Column:
     """c, a long, as an expression Spark doesn't know a side to be dealt by already.
 
@@ -69,3 +83,12 @@ def apart_binary(c: Column) -> Column:
 def bind(value: Column, f) -> Column:
     """f(value) with value computed once, even where f reads it inside other lambdas: the optimiser can't copy it there."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: Rows up to which a table of counts or models, one row for each group, is broadcast.
+SMALL = 20_000
+
+
+def small(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df, to be joined by key, a long: broadcast if its number of rows is small, else dealt so that a hot key of the other side can be split."""
+    return F.broadcast(df) if rows <= SMALL else df.withColumn(key, apart(F.col(key)))

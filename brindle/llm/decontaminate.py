@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, ascii_lower, bind, table, text_key
+from .common import apart, ascii_lower, bind, packed, table, text_key
 
 #: Low bits of a fingerprint: its place in the text, modulo 2 ** _PLACE. The rest is the hash.
 _PLACE = 24
@@ -120,8 +120,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, k: int
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the contaminated rows, whole as they were."""
     bad = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row"))
-    row = text_key(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("bad_id")) & (row == F.col("bad_row")), "left_anti")
+    rows = packed(docs, id_col, text_col)
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("row") == F.col("bad_row")), "left_anti").select("doc.*")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

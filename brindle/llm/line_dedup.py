@@ -57,7 +57,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.array_sort(F.collect_set("pos")).alias("gone"))
         .select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "gone")
     )
-    row = [F.struct(*[docs[c] for c in docs.columns]).alias("doc")] if whole else []
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if whole else []
     kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row).withColumn("row", text_key(F.col("text")))
     joined = kept.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left")
     lines = F.split("text", "\n", -1)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bind, saved, table, text_key
+from .common import BLANKS, SMALL, bind, packed, saved, small, table, text_key
 
 _SYMBOLS = "#*$%&|<>"
 #: The vector: log of the mean word length, root of symbols a word, arcsines of the roots of the shares of repeated lines and
@@ -150,17 +150,20 @@ def judge(docs: DataFrame, part: float = 0.75, cutoff: float = 36.0, least: int
     good = out.where(~F.col("base_failed"))
     cells = saved(_cells(good, least))
     in_cell = F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("source").eqNullSafe(F.col("c_source"))
-    vectors = good.join(cells.where(F.col("cell").isNotNull()), in_cell).select("cell", "v")
+    named = cells.count()
+    told = lambda df: F.broadcast(df) if named <= SMALL else df  # noqa: E731  a row for each language and source
+    own = lambda df: small(df, "cell", named)
+    vectors = good.join(told(cells.where(F.col("cell").isNotNull())), in_cell).select("cell", "v")
 
     medians = vectors.groupBy("cell").agg(F.array(*[F.percentile_approx(F.get("v", i), 0.5, 1000) for i in range(_P)]).alias("mean"))
-    spread = vectors.join(medians, "cell").groupBy("cell", "mean").agg(F.array(*[F.percentile_approx(F.abs(F.get("v", i) - F.get("mean", i)), 0.5, 1000) for i in range(_P)]).alias("mad"))
+    spread = vectors.join(own(medians), "cell").groupBy("cell", "mean").agg(F.array(*[F.percentile_approx(F.abs(F.get("v", i) - F.get("mean", i)), 0.5, 1000) for i in range(_P)]).alias("mad"))
     inverse = F.array(*[(1 / (F.pow(F.get("mad", i) * 1.4826, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)) for i in range(_P) for j in range(_P)])
     model = saved(spread.select("cell", "mean", inverse.alias("inverse"), F.lit(float("inf")).alias("logdet")))
     factor = _consistent(part)
     for _ in range(rounds):
-        near = vectors.join(model, "cell").select("cell", "v", _distance(F.col("v"), F.col("mean"), F.col("inverse")).alias("d"))
+        near = vectors.join(own(model), "cell").select("cell", "v", _distance(F.col("v"), F.col("mean"), F.col("inverse")).alias("d"))
         limits = near.groupBy("cell").agg(F.percentile_approx("d", part, 10000).alias("limit"))
-        near = near.join(limits, "cell").where(F.col("d") <= F.col("limit"))
+        near = near.join(own(limits), "cell").where(F.col("d") <= F.col("limit"))
         sums = near.groupBy("cell").agg(
             F.count(F.lit(1)).cast("double").alias("n"), F.array(*[F.sum(F.get("v", i)) for i in range(_P)]).alias("s"), F.array(*[F.sum(F.get("v", i) * F.get("v", j)) for i in range(_P) for j in range(_P)]).alias("q")
         )
@@ -170,7 +173,7 @@ def judge(docs: DataFrame, part: float = 0.75, cutoff: float = 36.0, least: int
         if fallen is None or fallen < 1e-3:
             break
     judged = cells.join(model, "cell", "left").select("c_lang", "c_source", "mean", "inverse")
-    out = out.join(judged, in_cell, "left")
+    out = out.join(told(judged), in_cell, "left")
     distance = F.when(~F.col("base_failed"), _distance(F.col("v"), F.col("mean"), F.col("inverse")))
     out = out.select("doc_id", "row", *_NAMES, "base_failed", distance.alias("distance"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff)))
@@ -179,8 +182,9 @@ def judge(docs: DataFrame, part: float = 0.75, cutoff: float = 36.0, least: int
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that judge() rejects, whole as they were."""
     verdicts = judge(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row"))
-    row = text_key(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(verdicts, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")) & (row == F.col("kept_row")), "left_semi")
+    rows = packed(docs, id_col, text_col)
+    kept = rows.join(verdicts, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")), "left_semi")
+    return kept.select("doc.*")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, saved, table, text_key
+from .common import apart, packed, saved, table, text_key
 from .components import components
 
 _PIECE = 1 << 20
@@ -198,9 +198,8 @@ def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "
     groups = simhash_components(docs, width, radius, id_col, text_col)
     keepers = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k"))
     keepers = keepers.select(F.col("k.doc_id").alias("keep_id"), F.col("k.row").alias("keep_row"))
-    row = text_key(F.coalesce(F.col(text_col), F.lit("")))
-    kept = docs.join(keepers, F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")) & (row == F.col("keep_row")))
-    return kept.dropDuplicates(["keep_id", "keep_row"]).select(*[docs[c] for c in docs.columns])
+    kept = packed(docs, id_col, text_col).join(keepers, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row")))
+    return kept.dropDuplicates(["keep_id", "keep_row"]).select("doc.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
