@@ -1,34 +1,40 @@
 """Byte-level BPE by higher-order functions.
 
-A batch of texts is cut into words and each different word is merged once: a fold over its bytes, in which each step finds the
-pair of least rank, the leftmost of equal ones, in a rank map that stands in the plan as a value. The map is a table over
-pairs of ids: the pair (a, b) has its place at start[a] + b, and the cell there names a, so a lookup is two array reads.
-Texts are then lists of places among the words. Decoding concatenates the pieces of the ids.
+A batch of texts is cut into words, and each different word is merged once: a fold over its bytes whose steps by turns find the
+pair of least rank, the leftmost of equal ones, and merge it, with a rank map that stands in the plan as a value. The map
+is a table over pairs of ids: the pair (a, b) has its place at start[a] + b, and the cell there names a, so a lookup is two
+array reads. Texts are then lists of places among the words. Decoding concatenates the pieces of the ids.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import re
+import sys
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import bind, table, text_key
+from .common import bind, saved, small_batches, table, text_key
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 #: Characters of text in a batch, about; a longer text is a batch of its own.
-_BATCH = 16_000_000
+_BATCH = 2_000_000
 #: Bytes of the longest word that the fold merges. It takes steps times length; longer words are merged over a heap.
 _LONGEST = 128
-#: The rank is above this many bits of a pair's place in its word, the pair's first id above this many of its cell.
+#: A cell is the pair's first id above _RANK + _PLACE bits and the rank above _PLACE; the place in the word goes below.
 _PLACE, _RANK = 8, 20
+_NONE = 1 << (_PLACE + _RANK)
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -37,29 +43,32 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("a byte has no rank")
+    if max(ranks.values()) >= 1 << _RANK:
+        raise ValueError(f"a rank has over {_RANK} bits")
     return ranks
 
 
 def rank_map(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """start and cells: for each pair of ids (a, b) whose bytes together have a rank, cells[start[a] + b] is a and the rank."""
+    """start and cells: for each pair of ids (a, b) whose bytes together have a rank, cells[start[a] + b] holds a and the rank."""
     rows: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
         for i in range(1, len(token)):
-            a, b = ranks.get(token[:i]), ranks.get(token[i:])
-            if a is not None and b is not None:
+            a = ranks.get(token[:i])
+            b = None if a is None else ranks.get(token[i:])
+            if b is not None:
                 rows.setdefault(a, []).append((b, rank))
     ids = max(ranks.values()) + 1
     size = ids + 4 * sum(map(len, rows.values()))
-    start, cells, rnd = np.zeros(ids, np.int64), np.full(size, ids << _RANK, np.int64), np.random.default_rng(0)
+    start, cells, rnd = np.zeros(ids, np.int64), np.full(size, ids, np.int64) * _NONE, np.random.default_rng(0)
     for a, pairs in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
         b = np.array([x[0] for x in pairs])
         while True:  # the cells are a quarter full at the end, and the long rows come first: a few throws find room
             at = rnd.integers(0, size - ids + 1, 64)
-            free = (cells[at[:, None] + b] >> _RANK == ids).all(axis=1)
+            free = (cells[at[:, None] + b] // _NONE == ids).all(axis=1)
             if free.any():
                 break
         start[a] = at[free.argmax()]
-        cells[start[a] + b] = [a << _RANK | rank for _, rank in pairs]
+        cells[start[a] + b] = [a * _NONE | rank << _PLACE for _, rank in pairs]
     return start, cells
 
 
@@ -70,10 +79,12 @@ def _heaped(parts: list[int], start: np.ndarray, cells: np.ndarray) -> list[int]
 
     def rank(i: int) -> int | None:
         j = after[i]
-        cell = int(cells[start[parts[i]] + parts[j]]) if j < n else -1
-        return cell & (1 << _RANK) - 1 if cell >> _RANK == parts[i] else None
+        if j >= n:
+            return None
+        a, r = divmod(int(cells[start[parts[i]] + parts[j]]), _NONE)
+        return r >> _PLACE if a == parts[i] else None
 
-    heap = [(r, i, parts[i], parts[after[i]]) for i in range(n - 1) if (r := rank(i)) is not None]
+    heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank(i)) is not None]
     heapq.heapify(heap)
     while heap:
         r, i, a, b = heapq.heappop(heap)
@@ -89,144 +100,281 @@ def _heaped(parts: list[int], start: np.ndarray, cells: np.ndarray) -> list[int]
     return [p for p in parts if p >= 0]
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, values)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *values]), pa.int64()))
+@cache
+def _finder(pattern: str):
+    """A function from a text to its matches of pattern. For texts without characters over U+FFFF the classes that
+    pattern names are spelled out, by what they match one by one, for the faster of the two regex modules."""
+    whole = regex.compile(pattern).findall
 
+    def ranges(kind: str) -> str:
+        found = [c for c in range(0x10000) if regex.match(kind, chr(c))]
+        ends = [i for i in range(len(found)) if i == 0 or found[i] != found[i - 1] + 1] + [len(found)]
+        return "".join(f"\\u{found[a]:04x}-\\u{found[b - 1]:04x}" for a, b in zip(ends, ends[1:]))
+
+    if pattern != PATTERN:
+        return whole
+    l, n, s = map(ranges, (r"\p{L}", r"\p{N}", r"\s"))
+    plain = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{l}]+| ?[{n}]+| ?[^{s}{l}{n}]+|[{s}]+(?![^{s}])|[{s}]+").findall
+    return lambda text: plain(text) if text.isascii() or max(text) <= "\uffff" else whole(text)
+
+
+def _counted(pattern: str, shared):
+    """The words of texts that the fold merges, with their numbers."""
 
-def _counted(pattern: str):
     def run(batches):
-        find = regex.compile(pattern).findall
+        find, ranks = _finder(pattern), shared.value
+        counts, n = Counter(), 0
+
+        def told() -> pa.RecordBatch:
+            own = [(w, n) for w, n in counts.items() if len(d := w.encode()) <= _LONGEST and d not in ranks]
+            counts.clear()
+            return pa.record_batch([pa.array([w for w, _ in own], pa.string()), pa.array([n for _, n in own], pa.int64())], names=["word", "n"])
+
         for b in batches:
-            counts = Counter()
             for text in b.column(0):
-                counts.update(find(text.as_py()))
-            yield pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+                text = text.as_py()
+                counts.update(find(text))
+                n += len(text)
+                if n > _BATCH:
+                    yield told()
+                    n = 0
+        yield told()
 
     return run
 
 
-def _dictionary(pattern: str, vocabulary):
-    """From texts to batches: the rows' ids, keys, first words and numbers of words, the words as places among the
-    batch's different ones, the ids of these that are known and the bytes, as ids, of the others."""
+def _lists(data: bytes, sizes: list[int], of: np.ndarray | None = None) -> pa.Array:
+    """Lists of the given sizes: data's ints, or what of holds for each of its bytes."""
+    values = np.frombuffer(data, np.int32) if of is None else of[np.frombuffer(data, np.uint8)]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values))
+
+
+def _one(x: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+
+
+def _spelled(byte: np.ndarray):
+    """A list of words for each batch, and of their bytes as ids."""
 
     def run(batches):
-        ranks, start, cells, common = vocabulary.value
-        byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        find = regex.compile(pattern).findall
-
-        class Batch:
-            def __init__(self):
-                self.ids, self.keys, self.sizes, self.places, self.known, self.others, self.n = [], [], [], [], [], [], 0
-                self.place: dict[str, int] = {}
-
-            def new(self, word: str) -> int:
-                """The place of a word not seen before: from 0 among the known, from -1 down among the others."""
-                ids = common.get(word)
-                if ids is None:
-                    data = word.encode()
-                    own = ranks.get(data)
-                    ids = byte[np.frombuffer(data, np.uint8)] if own is None else np.array([own])
-                    if own is None and len(ids) <= _LONGEST:
-                        self.others.append(ids)
-                        at = self.place[word] = -len(self.others)
-                        return at
-                    if own is None:
-                        ids = np.array(_heaped(ids.tolist(), start, cells))
-                self.known.append(ids)
-                at = self.place[word] = len(self.known) - 1
-                return at
-
-            def add(self, i, key, text: str) -> None:
-                place, new = self.place, self.new
-                at = np.array([place[w] if w in place else new(w) for w in find(text)], np.int32)
-                self.ids.append(i)
-                self.keys.append(key)
-                self.sizes.append(len(at))
-                self.places.append(at)
-                self.n += len(text)
-
-            def told(self) -> pa.RecordBatch:
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                at = np.concatenate([np.zeros(0, np.int32), *self.places])
-                at = np.where(at < 0, len(self.known) - 1 - at, at)
-                first = np.cumsum([1, *self.sizes])[:-1]
-                columns = [pa.array(self.ids, pa.int64()), pa.array(self.keys, pa.int64()), pa.array(first, pa.int32()), pa.array(self.sizes, pa.int32()), pa.array(at, pa.int32()), _lists(self.known), _lists(self.others)]
-                return pa.record_batch([one(c) for c in columns], names=_BATCH_NAMES)
-
-        batch = Batch()
         for b in batches:
-            for i, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                text = text.as_py()
-                if batch.ids and batch.n + len(text) > _BATCH:
-                    yield batch.told()
-                    batch = Batch()
-                batch.add(i, key, text)
-        if batch.ids:
-            yield batch.told()
+            data = [w.encode() for w in b.column(0).to_pylist()]
+            yield pa.record_batch([_one(b.column(0)), _one(_lists(b"".join(data), [*map(len, data)], byte))], names=["word", "parts"])
 
     return run
 
 
-_BATCH_NAMES = ["ids", "keys", "first", "sizes", "places", "known", "others"]
-_BATCH_TYPE = "ids array<long>, keys array<long>, first array<int>, sizes array<int>, places array<int>, known array<array<long>>, others array<array<long>>"
+_COLUMNS = {"ids": "array<long>", "keys": "array<long>", "sizes": "array<int>", "places": "array<int>", "known": "array<array<int>>", "others": "array<array<long>>"}
+
+
+class _Places(dict):
+    """Words by their places, in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        return place
+
+
+class Common:
+    """The ids of common words: sorted hashes of the words, and their ids one after the other, all in small types."""
+
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+        order, starts = np.argsort(hashes), np.cumsum(np.concatenate([[0], sizes]))[:-1]
+        self.hashes, self.sizes, self.starts = hashes[order], sizes[order].astype(np.uint8), starts[order].astype(np.uint32)
+        self.ids = ids.astype(np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.int32)
+
+    def find(self, words: list[bytes], pieces: list[bytes]) -> list[bytes | None]:
+        """Each word's ids as the bytes of ints; None for a word that isn't there, which its ids' pieces tell from one with the same hash."""
+        if not len(self.hashes):
+            return [None] * len(words)
+        h = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hits = np.flatnonzero(self.hashes[at] == h)
+        starts, sizes = self.starts[at[hits]].tolist(), self.sizes[at[hits]].tolist()
+        out: list[bytes | None] = [None] * len(words)
+        for i, a, n in zip(hits.tolist(), starts, sizes):
+            ids = self.ids[a : a + n]
+            if b"".join([pieces[x] for x in ids.tolist()]) == words[i]:
+                out[i] = ids.astype(np.int32).tobytes()
+        return out
+
+
+def _packed(batches):
+    """Hashes of words, and the numbers and the ids of what they are merged to."""
+    for b in batches:
+        for k in range(len(b)):
+            words, ids = (b.column(c).slice(k, 1).flatten() for c in range(2))
+            hashes = np.fromiter((xxhash.xxh32_intdigest(w.encode()) for w in words.to_pylist()), np.uint32, len(words))
+            yield pa.record_batch([pa.array([hashes.view(np.int32)]), pa.array([np.diff(ids.offsets.to_numpy())]), pa.array([ids.flatten().to_numpy()])], names=["hashes", "sizes", "ids"])
+
+
+_COLUMNS = {"ids": "array<long>", "keys": "array<long>", "sizes": "array<int>", "places": "array<int>", "known": "array<array<int>>", "others": "array<array<long>>"}
+
+
+def _dictionary(pattern: str, byte: np.ndarray, shared):
+    """From texts to batches: the rows' ids, keys and numbers of words, the words as places among the batch's
+    different ones, the ids of these that are known and the bytes, as ids, of the others."""
+
+    def run(batches):
+        find = _finder(pattern)
+        pieces, common, start, cells = shared.value
+        ranks = {token: rank for rank, token in enumerate(pieces) if token is not None}
+
+        def told(ids, keys, texts, place) -> pa.RecordBatch:
+            words = [w.encode() for w in place]
+            known: list[bytes] = []
+            others: list[bytes] = []
+            to = np.zeros(len(words), np.int32)  # from 0 among the known, from -1 down among the others
+            rest = []
+            for i, w in enumerate(words):
+                if (own := ranks.get(w)) is not None:
+                    to[i] = len(known)
+                    known.append(own.to_bytes(4, sys.byteorder))
+                else:
+                    rest.append(i)
+            for i, merged in zip(rest, common.find([words[i] for i in rest], pieces)):
+                w = words[i]
+                if merged is None and len(w) > _LONGEST:
+                    merged = np.array(_heaped(byte[np.frombuffer(w, np.uint8)].tolist(), start, cells), np.int32).tobytes()
+                if merged is None:
+                    others.append(w)
+                    to[i] = -len(others)
+                else:
+                    to[i] = len(known)
+                    known.append(merged)
+            to = np.where(to < 0, len(known) - 1 - to, to)
+            places = pa.array(to[np.concatenate([np.zeros(0, np.int32), *texts])])
+            lists = [_lists(b"".join(known), [len(x) // 4 for x in known]), _lists(b"".join(others), [*map(len, others)], byte)]
+            columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array([*map(len, texts)], pa.int32()), places, *lists]
+            return pa.record_batch([_one(c) for c in columns], names=[*_COLUMNS])
+
+        ids, keys, texts, place, n = [], [], [], _Places(), 0
+        for b in batches:
+            for i, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                text = text.as_py()
+                if ids and n + len(text) > _BATCH:
+                    yield told(ids, keys, texts, place)
+                    ids, keys, texts, place, n = [], [], [], _Places(), 0
+                words = find(text)
+                texts.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
+                ids.append(i)
+                keys.append(key)
+                n += len(text)
+        if ids:
+            yield told(ids, keys, texts, place)
+        pa.default_memory_pool().release_unused()
+
+    return run
 
 
 def _merged(word: Column, start: Column, cells: Column) -> Column:
-    """The ids of a word: a fold whose steps by turns find the pair of least rank and merge it, until no pair has a rank."""
+    """The ids of a word of at most _LONGEST bytes."""
 
     def step(a: Column, _: Column) -> Column:
         parts, least = a["parts"], a["least"]
         # the first id cancels out of a pair's own cell, and stays above the rank in any other
-        ranked = lambda x, i: F.shiftleft(F.get(cells, F.get(start, x) + F.get(parts, i + 1)).bitwiseXOR(F.shiftleft(x, _RANK)), _PLACE).bitwiseOR(i.cast("long"))
-        i = least.bitwiseAND((1 << _PLACE) - 1).cast("int")
-        merged = F.filter(F.transform(parts, lambda x, k: F.when(k == i, F.shiftright(least, _PLACE)).otherwise(x)), lambda x, k: k != i + 1)
-        none = F.lit(1 << (_RANK + _PLACE))
+        ranked = lambda x, i: F.get(cells, F.get(start, x) + F.get(parts, i + 1)).bitwiseXOR(F.shiftleft(x, _RANK + _PLACE)) + i
+        at = least.bitwiseAND((1 << _PLACE) - 1).cast("int")
+        merged = F.filter(F.transform(parts, lambda x, i: F.when(i == at, F.shiftright(least, _PLACE)).otherwise(x)), lambda x, i: i != at + 1)
         return (
-            F.when(least.isNull(), F.struct(parts.alias("parts"), F.coalesce(F.array_min(F.transform(parts, ranked)), none).alias("least")))
-            .when(least < none, F.struct(merged.alias("parts"), F.lit(None).cast("long").alias("least")))
+            F.when(least.isNull(), F.struct(parts.alias("parts"), F.coalesce(F.array_min(F.transform(parts, ranked)), F.lit(_NONE)).alias("least")))
+            .when(least < _NONE, F.struct(merged.alias("parts"), F.lit(None).cast("long").alias("least")))
             .otherwise(a)
         )
 
-    return F.aggregate(F.concat(word, word), F.struct(word.alias("parts"), F.lit(None).cast("long").alias("least")), step, lambda a: a["parts"])
+    steps = F.sequence(F.lit(1), 2 * F.size(word))
+    return F.aggregate(steps, F.struct(word.alias("parts"), F.lit(None).cast("long").alias("least")), step, lambda a: a["parts"])
 
 
-def _with_map(df: DataFrame, start: np.ndarray, cells: np.ndarray) -> DataFrame:
-    """df with the rank map in columns of its own; it enters the plan as the value of a subquery of one row."""
+def _all_merged(df: DataFrame, words: str, start: np.ndarray, cells: np.ndarray) -> DataFrame:
+    """df with the lists in the column words merged. The rank map enters the plan as the value of a subquery of one row."""
     one = pa.table({"start": pa.array([start], pa.list_(pa.int64())), "cells": pa.array([cells], pa.list_(pa.int64()))})
     one = df.sparkSession.createDataFrame(one)
-    return df.select("*", one.select("start").scalar().alias("_start"), one.select("cells").scalar().alias("_cells"))
+    df = df.select("*", one.select("start").scalar().alias("_start"), one.select("cells").scalar().alias("_cells"))
+    plain = lambda c: F.transform(c, lambda x: x + 0)  # noqa: E731  plain arrays are read faster than a row's own
+    merged = bind(plain(F.col("_start")), lambda s: bind(plain(F.col("_cells")), lambda c: F.transform(words, lambda w: _merged(w, s, c).cast("array<int>"))))
+    return df.withColumn(words, merged).drop("_start", "_cells")
+
+
+def _slices(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    """The binary values joined between the given ends."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, values.offset * 8)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(offsets[ends].tobytes()), values.buffers()[2]]).cast(pa.binary())
+
+
+#: What encode() can give of each row's ids.
+_OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_text": "string", "decoded": "binary"}
+
+
+def _applied(shared, outputs: list[str]):
+    """From batches with all words merged to rows: doc_id, row and outputs."""
+
+    def run(batches):
+        pieces = pa.array(shared.value, pa.large_binary())
+        numerals = pa.array([f"{i}," for i in range(len(pieces))], pa.large_binary())
+        for b in batches:
+            for i in range(len(b)):
+                ids, keys, sizes, places, known, others = (b.column(c).slice(i, 1).flatten() for c in _COLUMNS)
+                words = pa.concat_arrays([known, others]).take(places)
+                starts, tokens = words.offsets.to_numpy(), words.values
+                ends = starts[np.cumsum([0, *sizes.to_numpy()])]
+                made = {
+                    "ids": lambda: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens),
+                    "n_tokens": lambda: pa.array(np.diff(ends), pa.int64()),
+                    "ids_text": lambda: pc.utf8_rtrim(_slices(numerals.take(tokens), ends).cast(pa.string()), ","),
+                    "decoded": lambda: _slices(pieces.take(tokens), ends),
+                }
+                yield pa.record_batch([ids, keys, *[made[c]() for c in outputs]], names=["doc_id", "row", *outputs])
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def _decoded(shared, column: int):
+    def run(batches):
+        pieces = pa.array(shared.value, pa.large_binary())
+        for b in batches:
+            lists = b.column(column)
+            ends = np.cumsum([0, *(0 if n is None else n for n in pc.list_value_length(lists).to_pylist())])
+            yield pa.record_batch([*b.columns, _slices(pieces.take(lists.flatten()), ends)], names=[*b.schema.names, "decoded"])
+
+    return run
 
 
 class Tokenizer:
-    """Ranks and a pattern, and after warm() the ids of common words. Ranks are longs up to 20 bits."""
+    """Ranks and a pattern, and after warm() the ids of common words."""
 
     def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN):
         self.ranks, self.pattern = read_ranks(path), pattern
-        if max(self.ranks.values()) >= 1 << _RANK:
-            raise ValueError(f"a rank has over {_RANK} bits")
         self.start, self.cells = rank_map(self.ranks)
-        self.common: dict[str, list[int]] = {}
-
-    def warm(self, docs: DataFrame, text_col: str = "text", sample: int = 10_000, most: int = 200_000) -> "Tokenizer":
-        """Merges the most common words of about sample rows ahead, most at most. No result depends on which they are:
-        a word that isn't among them is merged once in each batch that holds it."""
-        n = max(1, docs.count())
-        texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).sample(min(1.0, sample / n), 42)
-        words = texts.mapInArrow(_counted(self.pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        words = words.where((F.col("n") > 1) & (F.octet_length("word") <= _LONGEST)).orderBy(F.desc("n"), "word").limit(most)
-        ranked = self.ranks
-        found = [r[0] for r in words.select("word").collect() if r[0].encode() not in ranked]
-        data = [w.encode() for w in found]
-        byte = [ranked[bytes([b])] for b in range(256)]
-        rows = pa.table({"word": pa.array(found, pa.string()), "parts": pa.array([[byte[b] for b in w] for w in data], pa.list_(pa.int64()))})
-        rows = _with_map(docs.sparkSession.createDataFrame(rows).repartition(max(1, len(found) // 10_000)), self.start, self.cells)
-        merged = rows.select("word", _merged(F.col("parts"), F.col("_start"), F.col("_cells")).alias("ids"))
-        self.common = {r[0]: np.array(r[1]) for r in merged.collect()}
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.common = Common(np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        token = {rank: token for token, rank in self.ranks.items()}
+        self.pieces = [token.get(i) for i in range(len(self.start))]
+
+    def warm(self, docs: DataFrame, text_col: str = "text", sample: int = 30_000, most: int = 1_000_000) -> "Tokenizer":
+        """Merges the words of about sample rows ahead, at most the most common most of them. No result depends on which
+        they are: a word that isn't among them is merged once in each batch that holds it."""
+        spark = docs.sparkSession
+        small_batches(spark)
+        texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).sample(min(1.0, sample / max(1, docs.count())), 42)
+        words = texts.mapInArrow(_counted(self.pattern, spark.sparkContext.broadcast(self.ranks)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        words = saved(words)
+        least, above = 1, 0
+        for n, words_of_n in words.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).limit(most).collect():
+            above += words_of_n
+            if above > most:
+                least = n + 1
+                break
+        spelled = words.where(F.col("n") >= least).select("word").mapInArrow(_spelled(self.byte), "word array<string>, parts array<array<long>>")
+        found = _all_merged(spelled, "parts", self.start, self.cells).mapInArrow(_packed, "hashes array<int>, sizes array<int>, ids array<int>").toArrow()
+        hashes, sizes, ids = (found.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in range(3))
+        self.common = Common(hashes.view(np.uint32), sizes, ids)
         return self
 
-    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """doc_id, row (a hash of the text) and ids (array of int) for each row of docs.
+    def encode(self, docs: DataFrame, outputs: tuple[str, ...] = ("ids",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """doc_id, row (a hash of the text) and outputs for each row of docs: ids (array of int), n_tokens, ids_text (the ids in
+        decimal, comma-joined), decoded (the pieces of the ids, concatenated).
 
         A null text is an empty one and has no ids. Repeated rows all come back, as do null ids. Other columns are ignored; an
         empty table gives an empty result.
@@ -234,43 +382,26 @@ class Tokenizer:
         Cost: one scan; texts never move. A batch holds its texts' words once. Words over a bound of bytes are merged over a
         heap, since the fold takes steps times length.
         """
-        text = F.coalesce(F.col(text_col), F.lit(""))
+        small_batches(docs.sparkSession)
+        text, share = F.coalesce(F.col(text_col), F.lit("")), docs.sparkSession.sparkContext.broadcast
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("row"), text.alias("text"))
-        shared = docs.sparkSession.sparkContext.broadcast((self.ranks, self.start, self.cells, self.common))
-        batches = _with_map(rows.mapInArrow(_dictionary(self.pattern, shared), _BATCH_TYPE), self.start, self.cells)
-        words = F.concat("known", F.transform("others", lambda w: _merged(w, F.col("_start"), F.col("_cells"))))
-
-        def of_rows(words: Column) -> Column:
-            ids = lambda i: F.flatten(F.transform(F.slice("places", F.get("first", i), F.get("sizes", i)), lambda p: F.get(words, p)))
-            return F.transform("ids", lambda x, i: F.struct(x.alias("doc_id"), F.get("keys", i).alias("row"), ids(i).cast("array<int>").alias("ids")))
-
-        return batches.select(F.inline(bind(words, of_rows)))
-
-
-def _pieces(shared, ids: int):
-    def run(batches):
-        pieces = shared.value
-        for b in batches:
-            data = [b"".join([pieces[i] for i in row.as_py()]) for row in b.column(ids)]
-            yield pa.record_batch([*b.columns, pa.array(data, pa.binary())], names=[*b.schema.names, "decoded"])
-
-    return run
-
+        batches = rows.mapInArrow(_dictionary(self.pattern, self.byte, share((self.pieces, self.common, self.start, self.cells))), ", ".join(f"{c} {t}" for c, t in _COLUMNS.items()))
+        merged = _all_merged(batches, "others", self.start, self.cells)
+        return merged.mapInArrow(_applied(share(self.pieces), [*outputs]), ", ".join(["doc_id long", "row long", *[f"{c} {_OUTPUTS[c]}" for c in outputs]]))
 
-def decode(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
-    """rows and decoded: the pieces of their ids, concatenated. No ids give no bytes; an id without a piece is an error."""
-    shared = rows.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
-    schema = StructType([*rows.schema.fields, StructField("decoded", BinaryType())])
-    return rows.mapInArrow(_pieces(shared, rows.columns.index(ids_col)), schema)
+    def decode(self, rows: DataFrame, ids_col: str = "ids") -> DataFrame:
+        """rows and decoded: the pieces of their ids (array of int), concatenated. Null or no ids give no bytes; an unknown id is an error."""
+        schema = StructType([*rows.schema.fields, StructField("decoded", BinaryType())])
+        return rows.mapInArrow(_decoded(rows.sparkSession.sparkContext.broadcast(self.pieces), rows.columns.index(ids_col)), schema)
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids and, of their decoding, decoded_sha256 for each row of docs; see Tokenizer.encode()."""
-    tokenizer = Tokenizer().warm(docs, text_col)
-    out = decode(tokenizer.encode(docs, id_col, text_col), tokenizer.ranks)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = Tokenizer().warm(docs, text_col).encode(docs, ("n_tokens", "ids", "decoded"), id_col, text_col)
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
-    return encoded(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), "decoded_sha256")
+    docs = table(spark, sf_dir, "documents")
+    out = Tokenizer().warm(docs).encode(docs, ("n_tokens", "ids_text", "decoded"))
+    return out.select("doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
