@@ -40,4 +40,4 @@ def decoded(content: Column, encoding: str = "utf8") -> Column:
 
 def lines_of(text: Column) -> Column:
     """A text's lines: it is split at \\n alone, and one empty line at its end is dropped. An empty text has none."""
-    return F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
+    return F.when(text != "", F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)).otherwise(F.array().cast("array<string>"))

@@ -295,9 +295,9 @@ def op_partition_by(load, session):
 
 @query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total, min(o_orderkey) AS least, max(o_orderkey) AS most, 16 AS n_partitions FROM orders")
 def op_repartition(load, session):
-    dealt = load("orders").map("o_orderkey").repartition(16)
+    dealt = load("orders").map("o_orderkey").repartition(16).df.withColumn("part", F.spark_partition_id())
     keys = F.col("o_orderkey")
-    return dealt.df.agg(F.count(keys).alias("n"), F.sum(keys).alias("total"), F.min(keys).alias("least"), F.max(keys).alias("most"), F.count_distinct(F.spark_partition_id()).cast("int").alias("n_partitions"))
+    return dealt.agg(F.count(keys).alias("n"), F.sum(keys).alias("total"), F.min(keys).alias("least"), F.max(keys).alias("most"), F.count_distinct("part").cast("int").alias("n_partitions"))
 
 
 @query("SELECT i::INT AS part, 2000::BIGINT AS n, (i * 2000)::BIGINT AS least, (i * 2000 + 1999)::BIGINT AS most FROM range(0, 5) t(i)")
