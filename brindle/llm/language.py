@@ -1,8 +1,8 @@
 """Language ID by compression: a text is in the language whose dictionary makes it smallest.
 
 Each language has a raw-content dictionary for zstandard, pieces of its labelled texts. A text is cut into pieces, each
-compressed alone with every dictionary, and the sums of the sizes are compared. Letters are lower-cased on both sides: a
-text in capitals shares few bytes with any dictionary.
+compressed alone with every dictionary, and the sums of the sizes are compared. On both sides letters are lower-cased, since a
+text in capitals shares few bytes with any dictionary, and what stands between letters becomes one space.
 """
 
 from __future__ import annotations
@@ -18,25 +18,33 @@ _PIECE = 2048
 _HEADER = 2  # bytes of a frame without size, checksum or dictionary id, about: the same for all languages
 
 
+def plain(text: Column) -> Column:
+    """The letters of a text in lower case, and a space for what stands between."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")
+
+
 def held_out(id_col: str) -> Column:
     """Whether the remainder of the id's CRC-32 by 5 is 0; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, texts: int = 400, sample: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A dictionary for each language: sample characters from the middle of at most texts of its texts, those with the least hashes.
+def learn(docs: DataFrame, texts: int = 400, sample: int = 256, most_langs: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """A dictionary for each language, those with more texts first: sample characters from the middle of at most texts of its texts, those with the least hashes.
 
-    Rows without a text, a label or an id, and those held out, teach nothing. Copies of a text count once.
+    Rows without a text, a label or an id, and those held out, teach nothing. Copies of a text count once. Over most_langs
+    different labels are an error.
     """
     start = F.greatest((F.char_length("text") - sample) / 2, F.lit(0)).cast("int") + 1
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), held_out(id_col).alias("out"), F.col(id_col).alias("id"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~F.col("out"))
     # the hashes below this bound hold the sample asked for, with a margin, and little more
     span = float(1 << 63)
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).select("lang", F.least(F.lit(1.0), F.lit(2.0 * texts + 50) / F.col("n")).alias("part"))
-    few = rows.join(counts, "lang").where((F.col("h") / span + 1) / 2 <= F.col("part"))
-    few = saved(few.select("lang", "h", F.lower(F.substring("text", start, F.lit(sample))).alias("piece")).dropDuplicates(["lang", "h"]))
-    langs = [r[0] for r in counts.select("lang").orderBy("lang").collect()]
+    counts = saved(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).select("lang", "n", F.least(F.lit(1.0), F.lit(2.0 * texts + 50) / F.col("n")).alias("part")))
+    if counts.count() > most_langs:
+        raise ValueError(f"over {most_langs} labels; every task would hold a dictionary for each")
+    few = rows.join(F.broadcast(counts.select("lang", "part")), "lang").where((F.col("h") / span + 1) / 2 <= F.col("part"))
+    few = saved(few.select("lang", "h", plain(F.substring("text", start, F.lit(sample))).alias("piece")).dropDuplicates(["lang", "h"]))
+    langs = [r[0] for r in counts.orderBy(F.desc("n"), "lang").select("lang").collect()]
     out = {}
     for lang in langs:
         pieces = few.where(F.col("lang") == lang).orderBy("h").limit(texts).select("piece").collect()
@@ -80,7 +88,7 @@ def _classify(dictionaries: dict[str, bytes], margin: float, level: int):
 def identify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, margin: float = 0.02, level: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row for each row of docs: doc_id, held_out, lang_pred, score, rejected.
 
-    lang_pred is the language whose dictionary leaves the fewest bytes, the first by name of those that tie. score is the share by which
+    lang_pred is the language whose dictionary leaves the fewest bytes, the first of those that tie. score is the share by which
     the second best is larger, from 0 to 1 (1 if there is one language alone); a prediction with a score under margin is rejected.
     dictionaries is learn(docs) unless given; the prediction sees the text alone.
 
@@ -92,7 +100,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, marg
     """
     dictionaries = learn(docs, id_col=id_col, text_col=text_col, lang_col=lang_col) if dictionaries is None else dictionaries
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary").alias("text"), letters.alias("letters"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), plain(F.coalesce(F.col(text_col), F.lit(""))).cast("binary").alias("text"), letters.alias("letters"))
     return rows.mapInArrow(_classify(dictionaries, margin, level), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
