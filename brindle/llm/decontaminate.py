@@ -135,7 +135,7 @@ ORACLE = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), b AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), s AS (
   SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM b WHERE len(w) > 0
 ), wins AS (
@@ -147,7 +147,7 @@ WITH d AS (
 ), occurs AS (
   SELECT doc_id, s, starts.n, item_id FROM starts JOIN wins ON wins.n = starts.n AND wins.win = array_to_string(w[s:s + starts.n - 1], ' ')
 ), hit AS (
-  SELECT doc_id, len(list_distinct(flatten(list(range(s, s + n)))))::BIGINT AS n_hit, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM occurs GROUP BY doc_id
+  SELECT doc_id, len(list_distinct(flatten(list(range(s, s + n)))))::BIGINT AS n_hit, list_sort(list(DISTINCT item_id)) AS items FROM occurs GROUP BY doc_id
 )
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
