@@ -10,7 +10,7 @@ from typing import TYPE_CHECKING
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from .functions import opaque
 from .functions.order import HIDDEN, Order, columns_of, fresh, numbered, visible
@@ -282,13 +282,16 @@ class Dataset:
         if any(not o.ascending for o in order):
             df, order = numbered(df.orderBy(*columns_of(order)))
         # of equal ones the last counts
-        place = F.struct(*[F.col(o.name) for o in order])
+        places, rows = [F.col(o.name) for o in order], df.where(key.isNotNull())
         if greatest:
-            found = F.max_by(F.struct(*self.columns), F.struct(key, place))
-            return self._done(df.where(key.isNotNull()).agg(found.alias("x")).first()["x"])
-        least = df.where(key.isNotNull()).agg(F.min(key).alias("__brindle_least"))
-        rows = df.join(F.broadcast(least), key.eqNullSafe(F.col("__brindle_least")))  # the one row of an aggregate
-        return self._done(rows.agg(F.max_by(F.struct(*self.columns), place).alias("x")).first()["x"])
+            found = F.max_by(F.struct(*self.columns), F.struct(key, *places))
+        elif all(isinstance(df.schema[o.name].dataType, IntegralType) for o in order):
+            found = F.min_by(F.struct(*self.columns), F.struct(key, *[-p for p in places]))
+        else:
+            least = rows.agg(F.min(key).alias(f"{HIDDEN}least"))
+            rows = rows.join(F.broadcast(least), key.eqNullSafe(F.col(f"{HIDDEN}least")))  # one row
+            found = F.max_by(F.struct(*self.columns), F.struct(*places))
+        return self._done(rows.agg(found.alias("x")).first()["x"])
 
     def max(self, by: Column | str | None = None) -> Row | None:
         """The row with the greatest key (by default the first column), the last of equal ones; None without rows. NaN is greatest, nulls don't count."""

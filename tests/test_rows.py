@@ -130,3 +130,11 @@ def test_execute(session):
 def test_options(session):
     assert session.options == {"default_partitions": 4, "default_storage": "disk"}
     assert session.range(8).num_partitions == 4
+
+
+def test_min_of_rows_in_any_order(session):
+    rows = [(1, "a"), (2, "b"), (1, "c"), (2, "d")]
+    d = session.parallelize(rows, "k int, v string")
+    assert d.sort_by("v").min("k")["v"] == "c" and d.sort_by("v", ascending=False).min("k")["v"] == "a"
+    assert d.sort_by("v", ascending=False).max("k")["v"] == "b"
+    assert d.union(d.map("k", v=F.lit("z"))).min("k")["v"] == "z"
