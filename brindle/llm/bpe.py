@@ -29,7 +29,7 @@ from .common import bind, saved, small_batches, table, text_key
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 #: Characters of text in a batch, about; a longer text is a batch of its own.
-_BATCH = 2_000_000
+_BATCH = 4_000_000
 #: Bytes of the longest word that the fold merges. It takes steps times length; longer words are merged over a heap.
 _LONGEST = 128
 #: A cell is the pair's first id above _RANK + _PLACE bits and the rank above _PLACE; the place in the word goes below.
@@ -183,19 +183,30 @@ class Common:
         self.hashes, self.sizes, self.starts = hashes[order], sizes[order].astype(np.uint8), starts[order].astype(np.uint32)
         self.ids = ids.astype(np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.int32)
 
-    def find(self, words: list[bytes], pieces: list[bytes]) -> list[bytes | None]:
-        """Each word's ids as the bytes of ints; None for a word that isn't there, which its ids' pieces tell from one with the same hash."""
-        if not len(self.hashes):
-            return [None] * len(words)
-        h = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
+    def find(self, words: list[bytes], pieces: list[bytes], lengths: np.ndarray) -> list[bytes | None]:
+        """Each word's ids as the bytes of ints; None for a word that isn't there, which its ids' pieces tell from one
+        with the same hash. lengths: those of pieces."""
+        out: list[bytes | None] = [None] * len(words)
+        if not len(self.hashes) or not words:
+            return out
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         hits = np.flatnonzero(self.hashes[at] == h)
-        starts, sizes = self.starts[at[hits]].tolist(), self.sizes[at[hits]].tolist()
-        out: list[bytes | None] = [None] * len(words)
-        for i, a, n in zip(hits.tolist(), starts, sizes):
-            ids = self.ids[a : a + n]
-            if b"".join([pieces[x] for x in ids.tolist()]) == words[i]:
-                out[i] = ids.astype(np.int32).tobytes()
+        if not len(hits):
+            return out
+        sizes = self.sizes[at[hits]].astype(np.int64)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[at[hits]].astype(np.int64) - begins, sizes)]
+        own = [words[i] for i in hits.tolist()]
+        spelled = [pieces[x] for x in ids.tolist()]
+        same = np.add.reduceat(lengths[ids], begins) == np.fromiter(map(len, own), np.int64, len(own))
+        if not same.all() or b"".join(spelled) != b"".join(own):
+            same = np.array([b"".join(spelled[a:b]) == w for w, a, b in zip(own, begins.tolist(), ends.tolist())])
+        data = ids.astype(np.int32).tobytes()
+        for i, a, b, right in zip(hits.tolist(), (4 * begins).tolist(), (4 * ends).tolist(), same.tolist()):
+            if right:
+                out[i] = data[a:b]
         return out
 
 
@@ -204,8 +215,8 @@ def _packed(batches):
     for b in batches:
         for k in range(len(b)):
             words, ids = (b.column(c).slice(k, 1).flatten() for c in range(2))
-            hashes = np.fromiter((xxhash.xxh32_intdigest(w.encode()) for w in words.to_pylist()), np.uint32, len(words))
-            yield pa.record_batch([pa.array([hashes.view(np.int32)]), pa.array([np.diff(ids.offsets.to_numpy())]), pa.array([ids.flatten().to_numpy()])], names=["hashes", "sizes", "ids"])
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in words.to_pylist()), np.uint64, len(words))
+            yield pa.record_batch([pa.array([hashes.view(np.int64)]), pa.array([np.diff(ids.offsets.to_numpy())]), pa.array([ids.flatten().to_numpy()])], names=["hashes", "sizes", "ids"])
 
 
 _COLUMNS = {"ids": "array<long>", "keys": "array<long>", "sizes": "array<int>", "places": "array<int>", "known": "array<array<int>>", "others": "array<array<long>>"}
@@ -219,6 +230,7 @@ def _dictionary(pattern: str, byte: np.ndarray, shared):
         find = _finder(pattern)
         pieces, common, start, cells = shared.value
         ranks = {token: rank for rank, token in enumerate(pieces) if token is not None}
+        lengths = np.array([len(p or b"") for p in pieces])
 
         def told(ids, keys, texts, place) -> pa.RecordBatch:
             words = [w.encode() for w in place]
@@ -232,7 +244,7 @@ def _dictionary(pattern: str, byte: np.ndarray, shared):
                     known.append(own.to_bytes(4, sys.byteorder))
                 else:
                     rest.append(i)
-            for i, merged in zip(rest, common.find([words[i] for i in rest], pieces)):
+            for i, merged in zip(rest, common.find([words[i] for i in rest], pieces, lengths)):
                 w = words[i]
                 if merged is None and len(w) > _LONGEST:
                     merged = np.array(_heaped(byte[np.frombuffer(w, np.uint8)].tolist(), start, cells), np.int32).tobytes()
@@ -348,7 +360,7 @@ class Tokenizer:
         self.ranks, self.pattern = read_ranks(path), pattern
         self.start, self.cells = rank_map(self.ranks)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.common = Common(np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        self.common = Common(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
         token = {rank: token for token, rank in self.ranks.items()}
         self.pieces = [token.get(i) for i in range(len(self.start))]
 
@@ -367,9 +379,9 @@ class Tokenizer:
                 least = n + 1
                 break
         spelled = words.where(F.col("n") >= least).select("word").mapInArrow(_spelled(self.byte), "word array<string>, parts array<array<long>>")
-        found = _all_merged(spelled, "parts", self.start, self.cells).mapInArrow(_packed, "hashes array<int>, sizes array<int>, ids array<int>").toArrow()
+        found = _all_merged(spelled, "parts", self.start, self.cells).mapInArrow(_packed, "hashes array<long>, sizes array<int>, ids array<int>").toArrow()
         hashes, sizes, ids = (found.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in range(3))
-        self.common = Common(hashes.view(np.uint32), sizes, ids)
+        self.common = Common(hashes.view(np.uint64), sizes, ids)
         return self
 
     def encode(self, docs: DataFrame, outputs: tuple[str, ...] = ("ids",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 
@@ -71,12 +72,14 @@ def test_heap_and_fold_agree(spark, tokenizer):
 
 
 def test_same_hash_is_not_the_same_word(tokenizer, monkeypatch):
-    import numpy as np
-
-    monkeypatch.setattr(bpe.xxhash, "xxh32_intdigest", lambda w: 7)
-    ids = tokenizer.ranks[b"a"]
-    common = bpe.Common(np.array([7], np.uint32), np.array([1]), np.array([ids], np.int32))
-    assert common.find([b"a", b"b"], tokenizer.pieces) == [np.array([ids], np.int32).tobytes(), None]
+    monkeypatch.setattr(bpe.xxhash, "xxh64_intdigest", lambda w: 7 if w < b"m" else 9)
+    lengths = np.array([len(p) for p in tokenizer.pieces])
+    one, two = tokenizer.ranks[b"a"], tokenizer.ranks[b"z"]
+    common = bpe.Common(np.array([9, 7], np.uint64), np.array([2, 1]), np.array([two, two, one]))
+    told = lambda *ids: np.array(ids, np.int32).tobytes()
+    assert common.find([b"a", b"b", b"zz", b"z", b"zy"], tokenizer.pieces, lengths) == [told(one), None, told(two, two), None, None]
+    assert common.find([b"a", b"zz"], tokenizer.pieces, lengths) == [told(one), told(two, two)]
+    assert common.find([], tokenizer.pieces, lengths) == []
 
 
 def test_repeated_rows_and_null_ids(spark, tokenizer):
