@@ -7,6 +7,8 @@ e alone. Terms over a threshold, seen with e in several texts, are spans like th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 _CARD = r"[0-9](?:[\x20\-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9\-]+[0-9]"
 _TERM = r"\p{L}{4,}"
+#: Flagged terms, of all documents together, up to which they are broadcast.
+FEW = 100_000
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string,before:string,after:string>>"
 
 
@@ -102,7 +106,8 @@ def find_pii(docs: DataFrame, disclosure: float = 0.9, support: int = 3, context
     text. Copies of a text are one text for the support. Other columns are ignored; an empty table gives an empty result.
 
     Cost: entities are found in one scan and written to the checkpoint folder. Document frequencies of terms take one more
-    scan, counted map-side; pairs of terms and entities are as many as the words in contexts. Texts move only to find terms.
+    scan, counted map-side; pairs of terms and entities are as many as the words in contexts. Where the flagged terms of all
+    documents are few they are broadcast; beyond that texts that may hold an entity move once, to find the terms in them.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("row"), text.alias("text"))
@@ -123,11 +128,14 @@ def find_pii(docs: DataFrame, disclosure: float = 0.9, support: int = 3, context
     revealing = known.where((F.col("n_entity") < n) & (share >= disclosure)).select("entity", "term")
     flagged = beside.join(revealing.select(F.struct("entity.kind", "entity.value").alias("entity"), F.concat("term", F.lit("")).alias("term")), ["entity", "term"], "left_semi")
     flagged = flagged.groupBy("doc_id", "row").agg(F.collect_set("term").alias("terms")).select(F.col("doc_id").alias("t_id"), apart(F.col("row")).alias("t_row"), "terms")
+    flagged = saved(flagged)
+    few = (flagged.agg(F.sum(F.size("terms"))).first()[0] or 0) <= FEW
+    likely = reduce(Column.__or__, [rule(F.col("text")) for _, rule, _ in _RULES])  # no other text has an entity
 
     bare = "array<struct<start:int,kind:int,end:int>>"
     words = F.filter(_matches(F.col("text"), KINDS.index("term"), _TERM, 0), lambda s: F.array_contains("terms", F.lower(s["value"])))
     words = F.transform(words, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    own = rows.join(flagged, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("row") == F.col("t_row"))).select("doc_id", "row", words.alias("words"))
+    own = rows.where(likely).join(F.broadcast(flagged) if few else flagged, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("row") == F.col("t_row"))).select("doc_id", "row", words.alias("words"))
     own = own.dropDuplicates(["doc_id", "row"]).select(F.col("doc_id").alias("w_id"), F.col("row").alias("w_row"), "words")
     found = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     out = base.join(own, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row")), "left")

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import pytest
+
 from brindle.llm import pii
 
 from .conftest import prose, rows_by_id, texts_of
@@ -64,7 +66,9 @@ def people():
     return rows + [(500 + k, prose(k + 900, 60)) for k in range(60)]
 
 
-def test_revealing_terms(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_revealing_terms(spark, few, monkeypatch):
+    monkeypatch.setattr(pii, "FEW", few)
     rows = people()
     out = rows_by_id(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
     texts = dict(rows)
