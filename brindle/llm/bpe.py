@@ -29,7 +29,7 @@ from .common import bind, saved, small_batches, table, text_key
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 #: Characters of text in a batch, about; a longer text is a batch of its own.
-_BATCH = 4_000_000
+_BATCH = 2_000_000
 #: Bytes of the longest word that the fold merges. It takes steps times length; longer words are merged over a heap.
 _LONGEST = 128
 #: A cell is the pair's first id above _RANK + _PLACE bits and the rank above _PLACE; the place in the word goes below.
