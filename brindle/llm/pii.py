@@ -22,6 +22,8 @@ _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 _CARD = r"[0-9](?:[\x20\-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9\-]+[0-9]"
 _TERM = r"\p{L}{4,}"
+#: Matches in a chunk of a text's matches.
+_CHUNK = 256
 #: Flagged terms, of all documents together, up to which they are broadcast.
 FEW = 100_000
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string,before:string,after:string>>"
@@ -55,8 +57,10 @@ _RULES = (
 )
 
 
-def _matches(text: Column, kind: int, pattern: str, context: int) -> Column:
-    """The matches of pattern in text: what split() leaves between them gives their places in code points and their contexts."""
+def _matches(text: Column, kind: int, pattern: str, context: int, valid=None) -> Column:
+    """The valid matches of pattern in text: what split() leaves between all of them gives their places in code points and
+    their contexts. Places are summed in a fold by chunks, so that a text of many matches takes time linear in them."""
+    none = F.array().cast(_SPAN)
 
     def fold(x: Column) -> Column:
         found, rest = x["found"], x["rest"]
@@ -69,26 +73,22 @@ def _matches(text: Column, kind: int, pattern: str, context: int) -> Column:
             before = F.when(F.char_length(before) > context, F.regexp_replace(F.right(before, F.lit(context)), r"^\p{L}+", "")).otherwise(before)
             after = F.when(F.char_length(after) > context, F.regexp_replace(F.left(after, F.lit(context)), r"\p{L}+$", "")).otherwise(after)
             one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.get(found, i).alias("value"), before.alias("before"), after.alias("after")))
-            return F.struct(end.alias("at"), F.concat(a["out"], one.cast(_SPAN)).alias("out"))
+            out = F.concat(a["out"], one.cast(_SPAN))
+            return F.struct(end.alias("at"), (F.when(valid(F.get(found, i)), out).otherwise(a["out"]) if valid else out).alias("out"))
 
-        none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-        return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), none, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
-
-    return bind(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("rest")), fold)
+        def chunk(a: Column, k: Column) -> Column:
+            own = F.aggregate(F.sequence(k, F.least(k + _CHUNK, F.size(found)) - 1), F.struct(a["at"].alias("at"), none.alias("out")), step)
+            return bind(own, lambda o: F.struct(o["at"].alias("at"), F.concat(a["out"], F.array(o["out"])).alias("out")))
 
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+        return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1, F.lit(_CHUNK)), start, chunk, lambda a: F.flatten(a["out"]))).otherwise(none)
 
-def _checked(valid):
-    return lambda s: valid(s["value"])
+    return bind(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("rest")), fold)
 
 
 def _entities(text: Column, context: int) -> Column:
-    parts = []
-    for kind, (pattern, likely, valid) in enumerate(_RULES):
-        spans = _matches(text, kind, pattern, context)
-        if valid:
-            spans = F.filter(spans, _checked(valid))
-        parts.append(F.when(likely(text), spans).otherwise(F.array().cast(_SPAN)))
-    return F.concat(*parts)
+    none = F.array().cast(_SPAN)
+    return F.concat(*[F.when(likely(text), _matches(text, kind, pattern, context, valid)).otherwise(none) for kind, (pattern, likely, valid) in enumerate(_RULES)])
 
 
 def _terms(c: Column) -> Column:
@@ -133,7 +133,7 @@ def find_pii(docs: DataFrame, disclosure: float = 0.9, support: int = 3, context
     likely = reduce(Column.__or__, [rule(F.col("text")) for _, rule, _ in _RULES])  # no other text has an entity
 
     bare = "array<struct<start:int,kind:int,end:int>>"
-    words = F.filter(_matches(F.col("text"), KINDS.index("term"), _TERM, 0), lambda s: F.array_contains("terms", F.lower(s["value"])))
+    words = _matches(F.col("text"), KINDS.index("term"), _TERM, 0, lambda m: F.array_contains("terms", F.lower(m)))
     words = F.transform(words, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     own = rows.where(likely).join(F.broadcast(flagged) if few else flagged, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("row") == F.col("t_row"))).select("doc_id", "row", words.alias("words"))
     own = own.dropDuplicates(["doc_id", "row"]).select(F.col("doc_id").alias("w_id"), F.col("row").alias("w_row"), "words")

@@ -60,6 +60,12 @@ def test_patterns_at_their_edges(spark):
         assert [(s["start"], s["kind"], s["end"]) for s in out[i]["spans"] if s["kind"] < 4] == brute(t), t
 
 
+def test_many_matches(spark):
+    text = " ".join(f"{k % 300}.1.2.{k % 256} u{k}@example.org {k}" for k in range(3000))
+    found = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
+    assert [(s["start"], s["kind"], s["end"]) for s in found if s["kind"] < 4] == brute(text)
+
+
 def people():
     rows = [(k, f"{prose(k, 30)} Zebulon writes from zeb@example.org about {prose(-k, 20)}") for k in range(8)]
     rows += [(100 + k, f"{prose(k + 50, 30)} Ann writes from ann{k}@example.org about {prose(-k, 20)}") for k in range(60)]
