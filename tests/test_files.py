@@ -87,3 +87,13 @@ def test_values_as_lines(session, tmp_path):
 def test_loader_choice(session, shared):
     assert session.get_file_loader("file:///x") is None
     assert isinstance(shared.get_file_loader("/x"), SharedFolder) and shared.get_file_loader("hdfs://x/y") is None
+
+
+def test_empty_rows_survive_a_round_trip(session, tmp_path):
+    session.parallelize(["a", "", "b", ""], "x string", 1).save_as_text_file(f"{tmp_path}/d")
+    assert session.text_file(f"{tmp_path}/d").values() == ["a", "", "b", ""]
+
+
+def test_compressor_needs_a_connector(session, tmp_path):
+    with pytest.raises(ValueError):
+        session.range(1).save_as_text_file(f"{tmp_path}/d", compressor=gzip.compress)

@@ -54,7 +54,8 @@ def test_max_min_ties_and_nulls(session):
     assert d.max("k")["v"] == "c" and d.min("k")["v"] == "d"
     by_k = lambda a, b: (a["k"] or 0) - (b["k"] or 0)
     assert d.filter("k is not null").max_with(by_k)["v"] == "c" and d.filter("k is not null").min_with(by_k)["v"] == "d"
-    assert session.parallelize([float("nan"), 1.0], "x double").max()[0] != session.parallelize([1.0], "x double").max()[0]
+    numbers = session.parallelize([float("nan"), 1.0, None], "x double")
+    assert numbers.max()[0] != numbers.max()[0] and numbers.min()[0] == 1.0  # NaN is the greatest
 
 
 def test_map(session):
@@ -138,3 +139,21 @@ def test_min_of_rows_in_any_order(session):
     assert d.sort_by("v").min("k")["v"] == "c" and d.sort_by("v", ascending=False).min("k")["v"] == "a"
     assert d.sort_by("v", ascending=False).max("k")["v"] == "b"
     assert d.union(d.map("k", v=F.lit("z"))).min("k")["v"] == "z"
+
+
+def test_arithmetic_errors_are_errors(session):
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        session.range(3).map(x=F.lit(1) / F.col("id")).collect()
+    assert session.range(2).map(x=F.try_divide(F.lit(1), F.col("id"))).values() == [None, 1.0]
+
+
+def test_create_session_joins_the_running_one(spark):
+    from brindle.session import create_session
+
+    other = create_session(default_partitions=2)
+    assert other.spark is spark and other.range(10).num_partitions == 2
+
+
+def test_tables(session, tmp_path):
+    session.spark.range(5).write.json(f"{tmp_path}/t")
+    assert sorted(session.table(f"{tmp_path}/t", "json").values()) == [0, 1, 2, 3, 4]
