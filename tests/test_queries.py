@@ -32,3 +32,12 @@ def test_query_matches_sql(spark, name):
     assert sorted(found.columns) == columns
     expected = Counter(plain(r) for r in found.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
     assert Counter(plain(r) for r in df.select(*[f"`{c}`" for c in columns]).collect()) == expected
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the test tables aren't here")
+def test_entry(spark):
+    import __spark_entry__
+
+    df = __spark_entry__.entry(spark)
+    assert df.columns == ["l_returnflag", "l_linestatus", "n_rows", "revenue_cents"] and df.count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
