@@ -41,6 +41,20 @@ def _words(data: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
+def shingles(data: bytes | None, width: int) -> Iterator[np.ndarray]:
+    """64-bit hashes of a text's shingles of width words, in arrays of bounded size; fewer words are one shingle."""
+    few, last = True, []
+    for words in _words(data or b""):
+        words = last + words
+        if len(words) >= width:
+            digest = xxhash.xxh64_digest
+            yield np.frombuffer(b"".join([digest(x, 42) for x in map(b" ".join, zip(*[words[i:] for i in range(width)]))]), ">u8").astype(np.uint64)
+            few = False
+        last = words[max(0, len(words) - width + 1) :]
+    if few and last:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(last), 42)], np.uint64)
+
+
 def fingerprint(data: bytes | None, width: int = 4) -> int:
     """The 64-bit SimHash, unsigned, of a text's shingles of width words."""
     counts, n, last = np.zeros(64, np.int64), 0, []
@@ -193,9 +207,16 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, id_col:
     return marked.join(labels, "mark").select("doc_id", "row", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
-def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the least doc_id (a null one only if there is no other), whole as it was."""
+def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", similar: float | None = None) -> DataFrame:
+    """docs with one row of each component: the least doc_id (a null one only if there is no other), whole as it was.
+
+    With similar, texts whose shingles of five words have that Jaccard similarity are linked too, however far their fingerprints.
+    """
     groups = simhash_components(docs, width, radius, id_col, text_col)
+    if similar is not None:
+        from .similar import joined, similar_links
+
+        groups = joined(groups, similar_links(docs, similar, text_col=text_col))
     keepers = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k"))
     keepers = keepers.select(F.col("k.doc_id").alias("keep_id"), F.col("k.row").alias("keep_row"))
     kept = packed(docs, id_col, text_col).join(keepers, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row")))

@@ -25,8 +25,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.near_dedup(docs)
+    """One document of each group of near-duplicates stays: by fingerprints as op3 links them, or five-word shingles with a similarity of 0.8."""
+    return simhash.near_dedup(docs, similar=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
