@@ -58,9 +58,11 @@ _RULES = (
 
 
 def _matches(text: Column, kind: int, pattern: str, context: int, valid=None) -> Column:
-    """The valid matches of pattern in text: what split() leaves between all of them gives their places in code points and
-    their contexts. Places are summed in a fold by chunks, so that a text of many matches takes time linear in them."""
+    """The valid matches of pattern in text: what split() leaves between all of them gives their places in code points. Their
+    contexts are the text's own characters on both sides, other matches included. Places are summed in a fold by chunks, so that a text of many matches takes time linear in them."""
     none = F.array().cast(_SPAN)
+    first = lambda c: F.left(c, F.lit(context + 1))
+    last = lambda c: F.right(c, F.lit(context + 1))
 
     def fold(x: Column) -> Column:
         found, rest = x["found"], x["rest"]
@@ -68,19 +70,26 @@ def _matches(text: Column, kind: int, pattern: str, context: int, valid=None) ->
         def step(a: Column, i: Column) -> Column:
             start = a["at"] + F.char_length(F.get(rest, i))
             end = start + F.char_length(F.get(found, i))
-            before, after = F.get(rest, i), F.get(rest, i + 1)
+            before, after = F.lit(""), F.lit("")
+            if context:
+                # one character more tells whether the text goes on; pieces and other matches alike belong to the text
+                before = last(F.concat(a["tail"], F.get(rest, i)))
+                pieces = F.sequence(i + 1, F.least(i + 1 + context // 2, F.size(found)))  # a match has two characters or more
+                piece = lambda j: first(F.concat(first(F.get(rest, j)), first(F.coalesce(F.get(found, j), F.lit("")))))
+                after = first(F.array_join(F.transform(pieces, piece), ""))
+            tail = last(F.concat(before, F.get(found, i))) if context else F.lit("")
             # whole words alone: the cut one at the far end goes
             before = F.when(F.char_length(before) > context, F.regexp_replace(F.right(before, F.lit(context)), r"^\p{L}+", "")).otherwise(before)
             after = F.when(F.char_length(after) > context, F.regexp_replace(F.left(after, F.lit(context)), r"\p{L}+$", "")).otherwise(after)
             one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.get(found, i).alias("value"), before.alias("before"), after.alias("after")))
             out = F.concat(a["out"], one.cast(_SPAN))
-            return F.struct(end.alias("at"), (F.when(valid(F.get(found, i)), out).otherwise(a["out"]) if valid else out).alias("out"))
+            return F.struct(end.alias("at"), tail.alias("tail"), (F.when(valid(F.get(found, i)), out).otherwise(a["out"]) if valid else out).alias("out"))
 
         def chunk(a: Column, k: Column) -> Column:
-            own = F.aggregate(F.sequence(k, F.least(k + _CHUNK, F.size(found)) - 1), F.struct(a["at"].alias("at"), none.alias("out")), step)
-            return bind(own, lambda o: F.struct(o["at"].alias("at"), F.concat(a["out"], F.array(o["out"])).alias("out")))
+            own = F.aggregate(F.sequence(k, F.least(k + _CHUNK, F.size(found)) - 1), F.struct(a["at"].alias("at"), a["tail"].alias("tail"), none.alias("out")), step)
+            return bind(own, lambda o: F.struct(o["at"].alias("at"), o["tail"].alias("tail"), F.concat(a["out"], F.array(o["out"])).alias("out")))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{_SPAN}>").alias("out"))
         return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1, F.lit(_CHUNK)), start, chunk, lambda a: F.flatten(a["out"]))).otherwise(none)
 
     return bind(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("rest")), fold)

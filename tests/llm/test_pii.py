@@ -98,3 +98,22 @@ def test_sanitise(spark):
     joined = "\n".join(r["text"] for r in out)
     assert "@" not in joined and "Zebulon" not in joined and "[term] writes from [email] about" in joined
     assert sorted(r["text"] for r in out if r["doc_id"] in (1, 900, 901) and "Zeb" not in r["text"] and "[term]" not in r["text"]) == ["", "", "twice [email]", "twice [email]"]
+
+
+def test_contexts_reach_over_other_matches(spark):
+    """Of each valid entity the context is the text beside it, whatever numbers or entities stand in between."""
+    texts = ["Zebulon in 2024, room 17: 4111 1111 1111 1111 of 12 34 56 Quentin " + "far " * 40, "😀 " * 50 + "Ann a@b.cd e@f.gh Bob", "12 " * 200 + "x 4111111111111111 y" + " 34" * 200, "4111111111111111", "word " * 40 + "1.2.3.4 5.6.7.8" + " word" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for i, found in df.select("doc_id", pii._entities(pii.F.col("text"), 80)).collect():
+        assert found or i == 3
+        for e in found:
+            before, after = texts[i][: e["start"]], texts[i][e["end"] :]
+            assert e["before"] == (re.sub(r"^[^\W\d_]+", "", before[-80:]) if len(before) > 80 else before)
+            assert e["after"] == (re.sub(r"[^\W\d_]+$", "", after[:80]) if len(after) > 80 else after)
+
+
+def test_terms_beyond_numbers_are_flagged(spark):
+    rows = [(k, f"{prose(k, 30)} Zebulon in 2024 pays by 4111 1111 1111 1111 for {prose(-k, 20)}") for k in range(8)]
+    rows += [(500 + k, prose(k + 900, 60)) for k in range(60)]
+    out, texts = rows_by_id(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))), dict(rows)
+    assert all("Zebulon" in {texts[i][s["start"] : s["end"]] for s in out[i]["spans"] if s["kind"] == 4} for i in range(8))
