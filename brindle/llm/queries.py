@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import bpe, decontaminate, language, line_dedup, pii, quality, secrets, sharding, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,7 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_pii": pii.op10_pii,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
