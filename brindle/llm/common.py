@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import reduce
 
@@ -13,6 +14,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
 #: Java's pattern for one run of characters that aren't in BLANKS.
 BLANK_RUN = r"[\x20\x09-\x0D]+"
+_CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +27,19 @@ def ascii_lower(c: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where all executors are threads of this process, as in
+    tests, one of our own serves if none is named; on a cluster that is an error, since executors can't see the driver's folders.
+
+    Spark drops a checkpoint's files once nothing refers to it any more, unless the cluster has set that otherwise.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    own = sc._jsc.sc().conf()
+    if not own.contains(_CLEAN):
+        own.set(_CLEAN, "true")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
