@@ -131,7 +131,7 @@ def assign_shards(docs: DataFrame, tree: Node, more: Node | None = None, id_col:
     return (
         rows.withColumn("at", F.row_number().over(within) - 1)
         .join(first, ["shard", "cell"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("at")).cast("int").alias("slot"), "grown_shard")
+        .select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("at")).cast("long").alias("slot"), "grown_shard")
     )
 
 
