@@ -1,9 +1,9 @@
 """Quality rules: fixed limits, then robust multivariate outliers.
 
 Each text has a vector of transformed statistics. For each language and source the minimum-covariance-determinant estimate
-of the vectors' centre and scatter is found by concentration steps over all its documents: from medians and deviations,
-then again and again the mean and covariance of the part of documents that is nearest by Mahalanobis distance, until the
-determinants stop falling. Documents farther than the cutoff are rejected.
+of the vectors' centre and scatter is found by concentration steps over all its documents, from two starts: medians and deviations,
+and the mean and covariance of all. Again and again comes the mean and covariance of the part of documents that is nearest by Mahalanobis
+distance, until no determinant falls; the least counts. Documents farther than the cutoff are rejected.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, SMALL, bind, packed, saved, small, table, text_key
+from .common import BLANKS, SMALL, apart, bind, packed, saved, small, table, text_key
 
 _SYMBOLS = "#*$%&|<>"
 #: The vector: log of the mean word length, root of symbols a word, arcsines of the roots of the shares of repeated lines and
-#: words, log of the number of words. Each with the least standard deviation it is taken to have: texts differ that much for
-#: no fault of theirs, and a statistic that is 0 for most documents would else make any other value an outlier.
+#: words, log of the number of words. Each with the least standard deviation it is taken to have, which is added to the scatter's diagonal: texts differ
+#: that much for no fault of theirs, and a statistic that is 0 for most documents would else make any other value an outlier. So repetition alone
+#: seldom rejects what the fixed limits let pass: with all else usual it takes the repeated share of nearly all lines.
 FLOORS = (0.08, 0.06, 0.25, 0.25, 0.8)
 _P = len(FLOORS)
 
@@ -91,12 +92,12 @@ def _solved(factor: float):
                 cov = cov * factor
                 cov[np.diag_indices(_P)] = np.maximum(np.diag(cov), 0) + np.square(FLOORS)
                 out.append((mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
-            yield pd.DataFrame({"cell": b["cell"], "mean": [o[0] for o in out], "inverse": [o[1] for o in out], "logdet": [o[2] for o in out]})
+            yield pd.DataFrame({"cell": b["cell"], "start": b["start"], "mean": [o[0] for o in out], "inverse": [o[1] for o in out], "logdet": [o[2] for o in out]})
 
     return run
 
 
-_MODEL = "cell long, mean array<double>, inverse array<double>, logdet double"
+_MODEL = "cell long, start int, mean array<double>, inverse array<double>, logdet double"
 
 
 def _distance(v: Column, mean: Column, inverse: Column) -> Column:
@@ -106,26 +107,31 @@ def _distance(v: Column, mean: Column, inverse: Column) -> Column:
 
 def _cells(vectors: DataFrame, least: int) -> DataFrame:
     """lang, source and cell for each language and source: its own, or if it has fewer than least documents one that
-    the small ones of its language share, or of all languages; null where these have too few as well."""
-    n = vectors.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    small = n.where(F.col("n") < least)
-    by_lang = small.groupBy("lang").agg(F.sum("n").alias("n_lang")).select(F.col("lang").alias("small_lang"), "n_lang")
-    rest = by_lang.where(F.col("n_lang") < least).agg(F.coalesce(F.sum("n_lang"), F.lit(0)).alias("n_rest")).first()[0]
+    the small ones of its language share, or of all languages; where these have too few as well the largest of its language, else of all.
+    Null if no language and source, and not all together, have least documents."""
     own = F.xxhash64(F.lit(0), F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("")), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    n = vectors.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("own", own)
+    small = F.col("n") < least
+    by_lang = n.groupBy("lang").agg(F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("n_lang"), F.max_by(F.when(~small, F.col("own")), F.when(~small, F.struct("n", "own"))).alias("largest"))
+    by_lang = by_lang.select(F.col("lang").alias("small_lang"), "n_lang", "largest")
+    rest = by_lang.where(F.col("n_lang") < least).agg(F.coalesce(F.sum("n_lang"), F.lit(0)).alias("n_rest")).first()[0]
     shared = F.xxhash64(F.lit(1), F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("")))
-    everyone = F.xxhash64(F.lit(2)) if rest >= least else F.lit(None).cast("long")
+    known = n.where(~small).select("own", "n").unionByName(by_lang.where(F.col("n_lang") >= least).select(F.col("small_lang").alias("lang"), F.col("n_lang").alias("n")).select(shared.alias("own"), "n"))
+    most = known.agg(F.max_by("own", F.struct("n", "own"))).first()[0]
+    other = F.xxhash64(F.lit(2)) if rest >= least else F.coalesce("largest", F.lit(most).cast("long"))
     n = n.join(by_lang, F.col("lang").eqNullSafe(F.col("small_lang")), "left")
-    return n.select(F.col("lang").alias("c_lang"), F.col("source").alias("c_source"), F.when(F.col("n") >= least, own).when(F.col("n_lang") >= least, shared).otherwise(everyone).alias("cell"))
+    return n.select(F.col("lang").alias("c_lang"), F.col("source").alias("c_source"), F.when(~small, F.col("own")).when(F.col("n_lang") >= least, shared).otherwise(other).alias("cell"))
 
 
-def judge(docs: DataFrame, part: float = 0.75, cutoff: float = 36.0, least: int = 100, rounds: int = 10, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, part: float = 0.75, cutoff: float = 36.0, least: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row for each row of docs: doc_id, row (a hash of the text), the statistics, base_failed, distance, kept.
 
     base_failed: fewer than 50 words, or over half the words stand in 3-word windows found twice or more. The others are judged by
     the squared Mahalanobis distance from the estimate of their language and source, which all of them that didn't fail make; over
     cutoff (chi-squared with 5 degrees of freedom exceeds 36 once in a million times) they go. A language and source with
     fewer than least documents is estimated together with the other small ones of its language, these if too few
-    with those of other languages; without an estimate a document that didn't fail is kept and its distance is null.
+    with those of other languages, and if they are still too few with the largest language and source. With fewer than least documents in all
+    there is no estimate: those that didn't fail are kept and their distance is null.
 
     A null or empty text has no words and fails. Null languages and sources are values like others. Repeated rows all come
     back, and count as often as they stand. Other columns are ignored; an empty table gives an empty result.
@@ -158,20 +164,30 @@ def judge(docs: DataFrame, part: float = 0.75, cutoff: float = 36.0, least: int
     medians = vectors.groupBy("cell").agg(F.array(*[F.percentile_approx(F.get("v", i), 0.5, 1000) for i in range(_P)]).alias("mean"))
     spread = vectors.join(own(medians), "cell").groupBy("cell", "mean").agg(F.array(*[F.percentile_approx(F.abs(F.get("v", i) - F.get("mean", i)), 0.5, 1000) for i in range(_P)]).alias("mad"))
     inverse = F.array(*[(1 / (F.pow(F.get("mad", i) * 1.4826, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)) for i in range(_P) for j in range(_P)])
-    model = saved(spread.select("cell", "mean", inverse.alias("inverse"), F.lit(float("inf")).alias("logdet")))
-    factor = _consistent(part)
-    for _ in range(rounds):
-        near = vectors.join(own(model), "cell").select("cell", "v", _distance(F.col("v"), F.col("mean"), F.col("inverse")).alias("d"))
-        limits = near.groupBy("cell").agg(F.percentile_approx("d", part, 10000).alias("limit"))
-        near = near.join(own(limits), "cell").where(F.col("d") <= F.col("limit"))
-        sums = near.groupBy("cell").agg(
+
+    def solved(near: DataFrame, factor: float) -> DataFrame:
+        """Mean, inverse scatter and log determinant for each cell and start of near."""
+        sums = near.groupBy("cell", "start").agg(
             F.count(F.lit(1)).cast("double").alias("n"), F.array(*[F.sum(F.get("v", i)) for i in range(_P)]).alias("s"), F.array(*[F.sum(F.get("v", i) * F.get("v", j)) for i in range(_P) for j in range(_P)]).alias("q")
         )
-        after = saved(sums.mapInPandas(_solved(factor), _MODEL))
-        fallen = model.select("cell", F.col("logdet").alias("before")).join(after, "cell").agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
-        model = after
-        if fallen is None or fallen < 1e-3:
+        return sums.mapInPandas(_solved(factor), _MODEL)
+
+    start = spread.select("cell", F.lit(0).alias("start"), "mean", inverse.alias("inverse"), F.lit(float("inf")).alias("logdet"))
+    wide = solved(vectors.withColumn("start", F.lit(1)), 1.0).withColumn("logdet", F.lit(float("inf")))
+    model = best = saved(start.unionByName(wide))
+    factor = _consistent(part)
+    while True:
+        near = vectors.join(own(model), "cell").select("cell", "start", "v", _distance(F.col("v"), F.col("mean"), F.col("inverse")).alias("d"))
+        limits = near.groupBy("cell", "start").agg(F.percentile_approx("d", part, 10000).alias("limit"))
+        limits = F.broadcast(limits) if named <= SMALL else limits.withColumn("cell", apart(F.col("cell")))
+        model = saved(solved(near.join(limits, ["cell", "start"]).where(F.col("d") <= F.col("limit")), factor))
+        both = best.withColumn("new", F.lit(0)).unionByName(model.withColumn("new", F.lit(1)))
+        # a later one counts where it is better; that ends, since determinants have a bound
+        ahead = saved(both.groupBy("cell", "start").agg(F.min_by(F.struct("mean", "inverse", "logdet", "new"), F.struct(F.col("logdet") + F.when(F.col("new") == 1, 1e-3).otherwise(0.0), "new")).alias("m")))
+        best = ahead.select("cell", "start", "m.mean", "m.inverse", "m.logdet")
+        if not ahead.agg(F.max("m.new")).first()[0]:
             break
+    model = best.groupBy("cell").agg(F.min_by(F.struct("mean", "inverse"), F.struct("logdet", "start")).alias("m")).select("cell", "m.mean", "m.inverse")
     judged = cells.join(model, "cell", "left").select("c_lang", "c_source", "mean", "inverse")
     out = out.join(told(judged), in_cell, "left")
     distance = F.when(~F.col("base_failed"), _distance(F.col("v"), F.col("mean"), F.col("inverse")))
@@ -180,7 +196,11 @@ def judge(docs: DataFrame, part: float = 0.75, cutoff: float = 36.0, least: int
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that judge() rejects, whole as they were."""
+    """docs without the rows that judge() rejects, whole as they were.
+
+    Null and empty texts go. Repeated rows stay or go together; rows that share a doc_id are judged each by its own text. Other columns may have any name; an
+    empty table gives an empty result. Texts move once, to their verdicts.
+    """
     verdicts = judge(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row"))
     rows = packed(docs, id_col, text_col)
     kept = rows.join(verdicts, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")), "left_semi")
