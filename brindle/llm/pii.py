@@ -1,8 +1,9 @@
 """Personal data: patterns for protected entities, and information-theoretic sanitisation of the terms that reveal them.
 
-DataFrame functions only. Terms beside an entity are counted with it over the whole corpus. A term t discloses the share
-1 - log P(e|t) / log P(e) of the information content of entity e: none if they are independent, all if t occurs with
-e alone. Terms over a threshold, seen with e in several texts, are spans like the entities and are generalised.
+DataFrame functions only. Protected are the entities and the groups they belong to: an address's domain, an IP's network, a card's
+issuer, a number's area. Terms beside them are counted with them over the whole corpus. A term t discloses the share
+1 - log P(e|t) / log P(e) of the information content of e: none if they are independent, all if t occurs with
+e alone. Terms over a threshold, seen with e in more than one text, are spans like the entities and are generalised.
 """
 
 from __future__ import annotations
@@ -104,38 +105,59 @@ def _terms(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(_TERM), F.lit(0)))
 
 
-def find_pii(docs: DataFrame, disclosure: float = 0.9, support: int = 3, context: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _protected(e: Column) -> Column:
+    """What an entity's terms may reveal: its value, and the group it belongs to (domain, network of 256, issuer, area), as structs of kind, level and value."""
+    kind, value, digits = e["kind"], F.lower(e["value"]), _digits(e["value"])
+    own = F.when(kind >= 2, digits).otherwise(value)
+    group = F.when(kind == 0, F.substring_index(value, "@", -1)).when(kind == 1, F.substring_index(value, ".", 3)).when(kind == 2, F.left(digits, F.lit(6))).otherwise(F.left(digits, F.length(digits) - 7))
+    return F.array(*[F.struct(kind.alias("kind"), F.lit(level).alias("level"), v.alias("value")) for level, v in enumerate((own, group))])
+
+
+def disclosures(base: DataFrame, words: DataFrame, disclosure: float = 0.9, support: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The terms beside entities, and which of them reveal which: (doc_id, row, entity, term) of all, (entity, term, share) of those that reach disclosure.
+
+    base has doc_id, row and found, the entities with their contexts; words doc_id, row and text of the same rows. n is the number of rows, n_entity that of rows with
+    the entity beside some term, n_term that of rows with the term, n_both that of rows with the term beside the entity: the share disclosed is
+    1 - ln(n_both / n_term) / ln(n_entity / n). An entity in all rows has no information to disclose. Rows that agree in doc_id and text count once.
+    """
+    beside = base.select("doc_id", "row", F.explode("found").alias("e"))
+    beside = beside.select("doc_id", "row", F.explode(_protected(F.col("e"))).alias("entity"), _terms(F.concat_ws(" ", "e.before", "e.after")).alias("terms"))
+    beside = saved(beside.select("doc_id", "row", "entity", F.explode("terms").alias("term")).distinct())
+    n = F.greatest(F.lit(1), F.lit(base.select("doc_id", "row").distinct().count()))
+    # seen by rows and by texts: a text's copies say nothing new
+    texts = beside.groupBy("entity", "term", "row").agg(F.count(F.lit(1)).alias("n"))
+    pairs = saved(texts.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= support))
+    owners = beside.select("doc_id", "row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    wanted = pairs.select("term").distinct()
+    often = words.select("doc_id", "row", F.explode(_terms(F.col("text"))).alias("term"))
+    often = often.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted.select(F.concat("term", F.lit("")).alias("term")), "term", "left_semi")
+    often = often.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # both joins deal their sides anew, so that a popular entity or term can be split
+    known = pairs.join(owners.select(F.struct("entity.kind", "entity.level", "entity.value").alias("entity"), "n_entity"), "entity").join(often.select(F.concat("term", F.lit("")).alias("term"), "n_term"), "term")
+    share = 1 - F.ln(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / F.ln(F.col("n_entity") / n)
+    return beside, known.where(F.col("n_entity") < n).select("entity", "term", share.alias("share")).where(F.col("share") >= disclosure)
+
+
+def find_pii(docs: DataFrame, disclosure: float = 0.9, support: int = 2, context: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, row (a hash of the text), spans (structs of start, kind, end, sorted).
 
     start and end count code points, end exclusive; kind is a place in KINDS. Entities are what the patterns match. A term is a
     run of 4 letters or more, in lower case. It is a span wherever it stands in a text in which it is within context
-    characters of an entity of which it discloses the share disclosure, if support different texts hold both so.
+    characters of an entity of which, or of whose group, it discloses the share disclosure, if support different texts hold both so.
 
     A null or empty text has no spans. Repeated rows all come back; rows that share a doc_id are judged each by its own
     text. Copies of a text are one text for the support. Other columns are ignored; an empty table gives an empty result.
 
-    Cost: entities are found in one scan and written to the checkpoint folder. Document frequencies of terms take one more
-    scan, counted map-side; pairs of terms and entities are as many as the words in contexts. Where the flagged terms of all
+    Cost: entities are found in one scan and written to the checkpoint folder. Document frequencies of the terms that have support take
+    one more scan, counted map-side; pairs of terms and entities are as many as the words in contexts, twice. Where the flagged terms of all
     documents are few they are broadcast; beyond that texts that may hold an entity move once, to find the terms in them.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("row"), text.alias("text"))
     base = saved(rows.select("doc_id", "row", _entities(F.col("text"), context).alias("found")))
 
-    beside = base.select("doc_id", "row", F.explode("found").alias("e"))
-    value = F.when(F.col("e.kind") >= 2, _digits(F.col("e.value"))).otherwise(F.lower("e.value"))
-    beside = beside.select("doc_id", "row", F.struct(F.col("e.kind").alias("kind"), value.alias("value")).alias("entity"), F.explode(_terms(F.concat_ws(" ", "e.before", "e.after"))).alias("term")).distinct()
-    n = F.greatest(F.lit(1), F.lit(base.count()))
-    # seen by rows and by texts: a text's copies say nothing new
-    texts = beside.groupBy("entity", "term", "row").agg(F.count(F.lit(1)).alias("n"))
-    pairs = texts.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= support)
-    owners = beside.select("doc_id", "row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # rows that agree in doc_id and text count once on either side
-    often = rows.select("doc_id", "row", F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    known = pairs.join(owners, "entity").join(often, "term")
-    share = 1 - F.ln(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / F.ln(F.col("n_entity") / n)
-    revealing = known.where((F.col("n_entity") < n) & (share >= disclosure)).select("entity", "term")
-    flagged = beside.join(revealing.select(F.struct("entity.kind", "entity.value").alias("entity"), F.concat("term", F.lit("")).alias("term")), ["entity", "term"], "left_semi")
+    beside, revealing = disclosures(base, rows, disclosure, support)
+    flagged = beside.join(revealing.select(F.struct("entity.kind", "entity.level", "entity.value").alias("entity"), F.concat("term", F.lit("")).alias("term")), ["entity", "term"], "left_semi")
     flagged = flagged.groupBy("doc_id", "row").agg(F.collect_set("term").alias("terms")).select(F.col("doc_id").alias("t_id"), apart(F.col("row")).alias("t_row"), "terms")
     flagged = saved(flagged)
     few = (flagged.agg(F.sum(F.size("terms"))).first()[0] or 0) <= FEW
@@ -152,7 +174,11 @@ def find_pii(docs: DataFrame, disclosure: float = 0.9, support: int = 3, context
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id and text for each row of docs: each span stands as its kind, generalised, as in [email]. Of spans that overlap the first counts."""
+    """doc_id and text for each row of docs: each span stands as its kind, generalised, as in [email]. Of spans that overlap the first counts.
+
+    A null text becomes an empty one. Repeated rows all come back, as do null ids. Other columns are left out, whatever their names; an empty table gives an empty
+    result. Texts move once, to their spans.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("row"), text.alias("text"))
     spans = find_pii(docs, id_col=id_col, text_col=text_col, **options).dropDuplicates(["doc_id", "row"])

@@ -1,9 +1,12 @@
 """Personal data: the patterns against plain ones, the terms against what was planted."""
 
 import hashlib
+import math
 import re
+from collections import Counter, defaultdict
 
 import pytest
+import regex
 
 from brindle.llm import pii
 
@@ -76,7 +79,7 @@ def people():
 def test_revealing_terms(spark, few, monkeypatch):
     monkeypatch.setattr(pii, "FEW", few)
     rows = people()
-    out = rows_by_id(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    out = rows_by_id(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), support=3))
     texts = dict(rows)
     terms = {i: {texts[i][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 4} for i, r in out.items()}
     assert all(terms[k] == {"Zebulon"} for k in range(8))
@@ -92,7 +95,8 @@ def test_copies_are_one_text(spark):
 
 def test_sanitise(spark):
     rows = people() + [(900, None), (901, ""), (1, "twice a@b.c"), (1, "twice a@b.c")]
-    clean = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, spans int, s_id string")
+    assert pii.sanitise(clean.where("false")).collect() == []
     out = pii.sanitise(clean).collect()
     assert len(out) == len(rows)
     joined = "\n".join(r["text"] for r in out)
@@ -117,3 +121,65 @@ def test_terms_beyond_numbers_are_flagged(spark):
     rows += [(500 + k, prose(k + 900, 60)) for k in range(60)]
     out, texts = rows_by_id(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))), dict(rows)
     assert all("Zebulon" in {texts[i][s["start"] : s["end"]] for s in out[i]["spans"] if s["kind"] == 4} for i in range(8))
+
+
+def brute_terms(rows, disclosure=0.9, support=2, context=80):
+    """doc_id to the terms to be flagged, by the formula, over all rows (of different doc_ids)."""
+    beside, n_term, both, with_entity, seen = defaultdict(set), Counter(), Counter(), defaultdict(set), defaultdict(set)
+    terms = lambda s: set(regex.findall(r"\p{L}{4,}", s.lower()))
+    for i, t in rows:
+        n_term.update(terms(t or ""))
+        for a, k, b in brute(t):
+            value, digits = t[a:b].lower(), re.sub("[^0-9]", "", t[a:b])
+            before, after = t[:a], t[b:]
+            before = regex.sub(r"^\p{L}+", "", before[-context:]) if len(before) > context else before
+            after = regex.sub(r"\p{L}+$", "", after[:context]) if len(after) > context else after
+            group = [value.split("@")[-1], value.rpartition(".")[0], digits[:6], digits[:-7]][k]
+            for e in ((k, 0, digits if k >= 2 else value), (k, 1, group)):
+                beside[i] |= {(e, w) for w in terms(before + " " + after)}
+    for i, t in rows:
+        for e, w in beside[i]:
+            both[e, w] += 1
+            with_entity[e].add(i)
+            seen[e, w].add(t)
+    n, out = len(rows), defaultdict(set)
+    for i, found in beside.items():
+        for e, w in found:
+            if len(seen[e, w]) >= support and len(with_entity[e]) < n and 1 - math.log(both[e, w] / n_term[w]) / math.log(len(with_entity[e]) / n) >= disclosure:
+                out[i].add(w)
+    return out
+
+
+def flagged(out, texts):
+    return {i: {texts[i][s["start"] : s["end"]].lower() for s in r["spans"] if s["kind"] == 4} for i, r in out.items()}
+
+
+def test_terms_are_brute_force(spark, folder):
+    texts = texts_of(spark, folder)
+    out = rows_by_id(pii.find_pii(spark.read.parquet(f"{folder}/documents.parquet")))
+    expected = brute_terms([*texts.items()])
+    assert flagged(out, texts) == {i: expected[i] for i in texts}
+
+
+def groups_of_people():
+    """A domain, a network, an issuer and an area that no value repeats in, each with a term of its own and with common ones."""
+    rows = []
+    for k in range(6):
+        rows.append((k, f"{prose(k, 25)} Quorum office kim{k}@quorum.example {prose(-k, 20)}"))
+        rows.append((10 + k, f"{prose(k + 10, 25)} server Wyvern at 10.77.3.{k} {prose(-k, 20)}"))
+        rows.append((20 + k, f"{prose(k + 20, 25)} Larkspur bank {['4000001111111111', '4000002222222222'][k % 2]} {prose(-k, 20)}"))
+        rows.append((30 + k, f"{prose(k + 30, 25)} Ferndale shop +1 (555) 010-{1000 + k} {prose(-k, 20)}"))
+        rows.append((40 + k, f"{prose(k + 40, 25)} server shop office bank {prose(-k, 20)}"))
+    return rows + [(100 + k, prose(k + 900, 60)) for k in range(60)] + [(200, None), (201, ""), (202, "ÉTÉ Wyvern 10.77.3.9 " + "😀" * 90)]
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_terms_that_reveal_a_group(spark, few, monkeypatch):
+    monkeypatch.setattr(pii, "FEW", few)
+    rows = groups_of_people()
+    texts = dict(rows)
+    found = flagged(rows_by_id(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))), texts)
+    expected = brute_terms(rows)
+    assert found == {i: expected[i] for i, _ in rows}
+    assert all("quorum" in found[k] and "wyvern" in found[10 + k] and "ferndale" in found[30 + k] for k in range(6))
+    assert not any(found[i] for i in texts if 40 <= i < 202)
