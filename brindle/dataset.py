@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructType
 
 from .functions import opaque
-from .functions.order import HIDDEN, Order, columns_of, fresh, numbered, visible
+from .functions.order import HIDDEN, Order, columns_of, fresh, numbered, quoted, visible
 from .operators import joins, keyed, layout
 from .sources import files
 
@@ -42,7 +42,7 @@ class Dataset:
     @property
     def df(self) -> DataFrame:
         """The rows as a DataFrame, without the hidden columns."""
-        return self._df.select(*[F.col(f"`{c}`") for c in self.columns])
+        return self._df.select(*[quoted(c) for c in self.columns])
 
     @property
     def columns(self) -> list[str]:
@@ -62,7 +62,7 @@ class Dataset:
     def _in_order(self) -> DataFrame:
         """The rows, lying in their order if they have one; without the hidden columns."""
         df = self._df if self._lies or not self.order else self._df.orderBy(*columns_of(self.order))
-        return df.select(*[F.col(f"`{c}`") for c in self.columns])
+        return df.select(*[quoted(c) for c in self.columns])
 
     def _done(self, result):
         if self._release:
@@ -129,7 +129,7 @@ class Dataset:
             df, own = d._ordered()
             names = [f"{HIDDEN}side{i}_{k}" for k in range(len(own))]
             order += [Order(n, o.ascending) for n, o in zip(names, own)]
-            one = df.select(*d.columns, F.lit(i).alias(side), *[F.col(o.name).alias(n) for n, o in zip(names, own)])
+            one = df.select(*[quoted(c) for c in d.columns], F.lit(i).alias(side), *[F.col(o.name).alias(n) for n, o in zip(names, own)])
             out = one if out is None else out.unionByName(one, allowMissingColumns=True)
         if any(set(d.columns) != set(self.columns) for d in others):
             raise ValueError("the datasets of a union have the same columns")
@@ -138,30 +138,43 @@ class Dataset:
     def distinct(self, partitions: int | None = None) -> "Dataset":
         """Each different row once; nulls are equal to each other."""
         out = self.df.distinct()
-        return self._next(out.repartition(partitions, *self.columns) if partitions else out)
+        return self._next(out.repartition(partitions, *[quoted(c) for c in self.columns]) if partitions else out)
 
     # by key
 
-    def combine_by_key(self, **aggregates: Column) -> "Dataset":
-        """The key and aggregates of each of its groups: combined map-side, then after one shuffle."""
-        return self._next(keyed.combine(self.df, [self.key], aggregates))
+    # partitions is how many partitions the result has, by the key's hash; with partition_of, an expression of the key, key by key
+    # into that partition. Native results are dealt so once they are combined: a row for each key moves, not each of its values.
 
-    def combine_by_key_with(self, create: Callable, merge_value: Callable, merge_combiners: Callable, schema: str | StructType, finish: Callable | None = None, partitions: int | None = None) -> "Dataset":
-        """The key and what finish makes of its combiner, by schema; see operators.keyed.combine_opaque."""
-        return self._next(keyed.combine_opaque(self.df, self.key, create, merge_value, merge_combiners, schema, finish, partitions))
+    def _keyed(self, df: DataFrame, partitions: int | None, partition_of: Column | str | None) -> "Dataset":
+        return self._next(layout.placed(df, partitions, self.key, partition_of))
 
-    def reduce_by_key(self, how: str = "sum") -> "Dataset":
-        """The key and sum, min, max, count or product of each other column in its group."""
-        f = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "product": F.product}[how]
-        return self._next(keyed.combine(self.df, [self.key], {c: f(c) for c in self.columns[1:]}))
+    def combine_by_key(self, partitions: int | None = None, partition_of: Column | str | None = None, **aggregates: Column) -> "Dataset":
+        """The key and aggregates of each of its groups: combined map-side, then after one shuffle."""
+        return self._keyed(keyed.combine(self.df, [self.key], aggregates), partitions, partition_of)
 
-    def reduce_by_key_with(self, f: Callable, partitions: int | None = None) -> "Dataset":
+    def combine_by_key_with(
+        self, create: Callable, merge_value: Callable, merge_combiners: Callable, schema: str | StructType, finish: Callable | None = None, partitions: int | None = None, partition_of: Column | str | None = None
+    ) -> "Dataset":
+        """The key and what finish makes of its combiner, by schema; see operators.keyed.combine_opaque."""
+        out = keyed.combine_opaque(self.df, self.key, create, merge_value, merge_combiners, schema, finish, None if partition_of is not None else partitions)
+        return self._next(out) if partition_of is None else self._keyed(out, partitions, partition_of)
+
+    def reduce_by_key(self, how: str = "sum", partitions: int | None = None, partition_of: Column | str | None = None) -> "Dataset":
+        """The key and sum, min, max, count or product of each other column in its group. A product has its column's own type, exact; one that is out of its range is an error."""
+        if how == "product":
+            times = lambda a, b: b if a is None else a if b is None else a * b
+            each = lambda a, b: {c: times(a[c], b[c]) for c in a} if isinstance(a, dict) else times(a, b)
+            return self.reduce_by_key_with(each, partitions, partition_of)
+        f = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}[how]
+        return self._keyed(keyed.combine(self.df, [self.key], {c: f(quoted(c)) for c in self.columns[1:]}), partitions, partition_of)
+
+    def reduce_by_key_with(self, f: Callable, partitions: int | None = None, partition_of: Column | str | None = None) -> "Dataset":
         """The key and the fold of its values by f, an associative function; the result has the values' own type."""
         rest = self.columns[1:]
         schema = StructType([self.df.schema[c] for c in rest])
-        return self.combine_by_key_with(lambda v: v, f, f, schema, partitions=partitions)
+        return self.combine_by_key_with(lambda v: v, f, f, schema, partitions=partitions, partition_of=partition_of)
 
-    def group_with(self, *others: "Dataset", names: list[str] | None = None) -> "Dataset":
+    def group_with(self, *others: "Dataset", names: list[str] | None = None, partitions: int | None = None, partition_of: Column | str | None = None) -> "Dataset":
         """The key and, for each dataset, the list of its values for it ([] where there are none), in order."""
         sides = [self, *others]
         names = names or [f"v{i}" for i in range(len(sides))]
@@ -170,30 +183,30 @@ class Dataset:
             df, order = d._ordered()
             if any(not o.ascending for o in order):
                 df, order = numbered(d._df.orderBy(*columns_of(order)))
-            key = F.col(d.key).alias(self.key)
-            rest = [F.col(c) for c in d.columns[1:]] or [F.lit(True).alias("present")]
+            key = quoted(d.key).alias(self.key)
+            rest = [quoted(c) for c in d.columns[1:]] or [F.lit(True).alias("present")]
             ready.append((df.select(key, *rest, *[o.name for o in order]), order))
-        return self._next(joins.cogroup(ready, self.key, names))
+        return self._keyed(joins.cogroup(ready, self.key, names), partitions, partition_of)
 
-    def cogroup(self, other: "Dataset", names: list[str] | None = None) -> "Dataset":
-        return self.group_with(other, names=names)
+    def cogroup(self, other: "Dataset", names: list[str] | None = None, partitions: int | None = None, partition_of: Column | str | None = None) -> "Dataset":
+        return self.group_with(other, names=names, partitions=partitions, partition_of=partition_of)
 
-    def _join(self, other: "Dataset", how: str) -> "Dataset":
+    def _join(self, other: "Dataset", how: str, partitions: int | None, partition_of: Column | str | None) -> "Dataset":
         right = other.df if other.key == self.key else other.df.withColumnRenamed(other.key, self.key)
-        return self._next(joins.join(self.df, right, self.key, how))
+        return self._keyed(joins.join(self.df, right, self.key, how), partitions, partition_of)
 
-    def join(self, other: "Dataset") -> "Dataset":
+    def join(self, other: "Dataset", partitions: int | None = None, partition_of: Column | str | None = None) -> "Dataset":
         """Rows whose keys are equal, nulls included, as key, own values, other's values."""
-        return self._join(other, "inner")
+        return self._join(other, "inner", partitions, partition_of)
 
-    def left_outer_join(self, other: "Dataset") -> "Dataset":
-        return self._join(other, "left")
+    def left_outer_join(self, other: "Dataset", partitions: int | None = None, partition_of: Column | str | None = None) -> "Dataset":
+        return self._join(other, "left", partitions, partition_of)
 
-    def right_outer_join(self, other: "Dataset") -> "Dataset":
-        return self._join(other, "right")
+    def right_outer_join(self, other: "Dataset", partitions: int | None = None, partition_of: Column | str | None = None) -> "Dataset":
+        return self._join(other, "right", partitions, partition_of)
 
-    def full_outer_join(self, other: "Dataset") -> "Dataset":
-        return self._join(other, "full")
+    def full_outer_join(self, other: "Dataset", partitions: int | None = None, partition_of: Column | str | None = None) -> "Dataset":
+        return self._join(other, "full", partitions, partition_of)
 
     # order
 
@@ -216,7 +229,13 @@ class Dataset:
 
     def sort(self, ascending: bool = True, partitions: int | None = None) -> "Dataset":
         """Rows in the order of their columns."""
-        return self.sort_by(*self.columns, ascending=ascending, partitions=partitions)
+        return self.sort_by(*[quoted(c) for c in self.columns], ascending=ascending, partitions=partitions)
+
+    def with_places(self, name: str = "place") -> "Dataset":
+        """Each row and its place in the order, from 0, found on the executors. The rows are kept as persist() keeps them."""
+        place = fresh(self._df, "ord")
+        out = layout.with_places(self._in_order(), name, STORAGE[self.session.default_storage])
+        return self._next(out.withColumn(place, F.col(name)), (Order(place),), lies=False)
 
     # layout
 
@@ -274,23 +293,24 @@ class Dataset:
     def take(self, n: int) -> list[Row]:
         """The first n rows: a top-n in each partition, merged."""
         df, order = self._ordered()
-        return self._done(df.orderBy(*columns_of(order)).limit(n).select(*self.columns).collect())
+        return self._done(df.orderBy(*columns_of(order)).limit(n).select(*[quoted(c) for c in self.columns]).collect())
 
     def _extreme(self, by: Column | str | None, greatest: bool):
         df, order = self._ordered()
-        key = _column(by if by is not None else self.columns[0])
+        key = _column(by) if by is not None else quoted(self.columns[0])
+        whole = F.struct(*[quoted(c) for c in self.columns])
         if any(not o.ascending for o in order):
             df, order = numbered(df.orderBy(*columns_of(order)))
         # of equal ones the last counts
         places, rows = [F.col(o.name) for o in order], df.where(key.isNotNull())
         if greatest:
-            found = F.max_by(F.struct(*self.columns), F.struct(key, *places))
+            found = F.max_by(whole, F.struct(key, *places))
         elif all(isinstance(df.schema[o.name].dataType, IntegralType) for o in order):
-            found = F.min_by(F.struct(*self.columns), F.struct(key, *[-p for p in places]))
+            found = F.min_by(whole, F.struct(key, *[-p for p in places]))
         else:
             least = rows.agg(F.min(key).alias(f"{HIDDEN}least"))
             rows = rows.join(F.broadcast(least), key.eqNullSafe(F.col(f"{HIDDEN}least")))  # one row
-            found = F.max_by(F.struct(*self.columns), F.struct(*places))
+            found = F.max_by(whole, F.struct(*places))
         return self._done(rows.agg(found.alias("x")).first()["x"])
 
     def max(self, by: Column | str | None = None) -> Row | None:

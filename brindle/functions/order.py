@@ -30,6 +30,11 @@ def fresh(df: DataFrame, what: str) -> str:
     return f"{HIDDEN}{what}{k}"
 
 
+def quoted(name: str) -> Column:
+    """A column by its name alone, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, tuple[Order, ...]]:
     """df with its rows numbered as they lie: by partition, then by place. Narrow, and stable as long as the layout is."""
     name = fresh(df, "ord")

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from ..functions.opaque import _batches, rows_of, schema_of
+from ..functions.order import quoted
 
 #: Combiners that a task holds before it sends them on; they meet again at the reducer.
 MOST_HELD = 50_000
@@ -21,7 +22,7 @@ MOST_HELD = 50_000
 
 def combine(df: DataFrame, key: list[str], aggregates: dict[str, Column]) -> DataFrame:
     """One row for each key: partial aggregation, one shuffle, final aggregation."""
-    return df.groupBy(*key).agg(*[c.alias(name) for name, c in aggregates.items()])
+    return df.groupBy(*[quoted(k) for k in key]).agg(*[c.alias(name) for name, c in aggregates.items()])
 
 
 def _frozen(x):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.order import Order, columns_of, fresh
+from ..functions.order import Order, columns_of, fresh, quoted
 
 
 def partition_by(df: DataFrame, n: int, target: Column, order: tuple[Order, ...] = ()) -> DataFrame:
@@ -16,6 +17,30 @@ def partition_by(df: DataFrame, n: int, target: Column, order: tuple[Order, ...]
     return out.sortWithinPartitions(*columns_of(order)) if order else out
 
 
+def placed(df: DataFrame, n: int | None, key: str, target: Column | str | None) -> DataFrame:
+    """df, whose rows stand for keys, in n partitions: by the key's hash, or each in partition target, an expression of the key. As it is without n."""
+    if target is None:
+        return df.repartition(n, quoted(key)) if n else df
+    if not n:
+        raise ValueError("a partition function needs the number of partitions")
+    return partition_by(df, n, F.expr(target) if isinstance(target, str) else target)
+
+
+def with_places(df: DataFrame, name: str, storage: StorageLevel) -> DataFrame:
+    """df and each row's place, from 0, in the order in which the rows lie. The rows are kept in storage, so that both passes see one layout; the number of
+    rows in each partition alone comes to the driver."""
+    part, order = fresh(df, "part"), fresh(df, "ord")
+    rows = df.withColumn(order, F.monotonically_increasing_id()).withColumn(part, F.shiftright(order, 33).cast("int")).persist(storage)
+    before, total = [], 0
+    for p, n in sorted((r[0], r[1]) for r in rows.groupBy(part).agg(F.count(F.lit(1))).collect()):
+        before.append((p, total))
+        total += n
+    # a row for each partition: a table as small as the layout itself
+    firsts = df.sparkSession.createDataFrame(before, f"{part} int, {order}_first long")
+    place = F.col(f"{order}_first") + F.col(order).bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(firsts), part).withColumn(name, place).drop(part, order, f"{order}_first")
+
+
 def _cuts(sizes: dict[int, int], n: int) -> list[tuple[int, int, list[int]]]:
     """For each source partition: itself, the cuts before it and the places of those within it, by which its rows fall to n targets."""
     o, out = max(sizes, default=-1) + 1, []

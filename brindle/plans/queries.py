@@ -276,15 +276,15 @@ def op_join_null_key(load, session):
 @query("SELECT (row_number() OVER (ORDER BY r_name))::BIGINT AS place, r_name FROM region UNION ALL SELECT (5 + row_number() OVER (ORDER BY n_name))::BIGINT, n_name FROM nation")
 def op_sort(load, session):
     """Sorts within a union stay one after the other; the places are those of the collected rows."""
-    names = load("region").map("r_name").sort().union(load("nation").map(r_name=F.col("n_name")).sort()).values()
-    return session.spark.createDataFrame(list(enumerate(names, 1)), "place long, r_name string")
+    names = load("region").map("r_name").sort().union(load("nation").map(r_name=F.col("n_name")).sort())
+    return names.with_places().map("r_name", place=F.col("place") + 1)
 
 
 @query("SELECT (row_number() OVER (ORDER BY c_mktsegment DESC, c_custkey))::BIGINT AS place, c_custkey FROM customer")
 def op_sort_by_stable(load, session):
     """Downwards by segment: customers of one segment keep the order by key that they had."""
     rows = load("customer").map("c_custkey", "c_mktsegment").sort_by("c_custkey").sort_by("c_mktsegment", ascending=False, partitions=6)
-    return session.spark.createDataFrame([(i, r["c_custkey"]) for i, r in enumerate(rows.collect(), 1)], "place long, c_custkey long")
+    return rows.with_places().map("c_custkey", place=F.col("place") + 1)
 
 
 @query("SELECT (o_custkey % 3)::INT AS part, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY 1")
@@ -331,11 +331,14 @@ def op_execute_primes(load, session):
 
 
 def _saved(session: Session) -> str:
-    """A folder for a query's files: in the checkpoint folder the cluster shares, or in one of our own where none is named."""
+    """A folder for a query's files: in the checkpoint folder the cluster shares. Where all executors are threads of this process one of our own serves if none is named."""
+    import re
     import tempfile
     import uuid
 
     named = session.spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", session.spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
     return f"{named or tempfile.mkdtemp(prefix='brindle-')}/{uuid.uuid4().hex}"
 
 
@@ -362,3 +365,88 @@ def op_binary(load, session):
     at = _saved(session)
     Dataset(session, load("region").map("r_name").df.coalesce(1)).save_as_text_file(at)
     return session.binary_files(at).df.agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.octet_length("content")).alias("n_bytes"))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
+def op_combine_by_key_partitions(load, session):
+    """Dealt by an expression of the key: each key lies in the partition that it names, or the query fails."""
+    out = load("orders").map("o_custkey").combine_by_key(partitions=5, partition_of=F.col("o_custkey") % 5, n=F.count(F.lit(1)))
+    wrong = F.spark_partition_id() != F.col("o_custkey") % 5
+    return out.df.select(F.when(wrong, F.raise_error("a key lies elsewhere")).otherwise(F.col("o_custkey")).cast("long").alias("o_custkey"), "n")
+
+
+@query("SELECT l_linenumber, max(l_orderkey) AS latest FROM lineitem GROUP BY 1")
+def op_reduce_by_key_partitions(load, session):
+    return load("lineitem").map("l_linenumber", latest=F.col("l_orderkey")).reduce_by_key_with(max, partitions=3, partition_of=F.col("l_linenumber") % 3)
+
+
+@query("SELECT n_regionkey, CAST(product(n_nationkey + 1) AS BIGINT) AS x FROM nation GROUP BY 1")
+def op_reduce_by_key_product(load, session):
+    return load("nation").map("n_regionkey", x=(F.col("n_nationkey") + 1).cast("long")).reduce_by_key("product")
+
+
+@query(_SIDES + "SELECT k, lang, toxic FROM d JOIN b USING (k)")
+def op_join_partitions(load, session):
+    docs, labels = _documents_labels(load)
+    return docs.join(labels, partitions=4, partition_of=F.col("k") % 4)
+
+
+@query("SELECT (SELECT max(l_extendedprice) FROM lineitem) AS most, (SELECT min(l_extendedprice) FROM lineitem) AS least")
+def op_max_min_function(load, session):
+    """By a comparator in Python, partition by partition."""
+    prices, compare = load("lineitem").map("l_extendedprice"), lambda a, b: a["l_extendedprice"] - b["l_extendedprice"]
+    return one_row(session, most=prices.max_with(compare)["l_extendedprice"], least=prices.min_with(compare)["l_extendedprice"])
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 7 = 3")
+def op_filter_function(load, session):
+    """A function that reads its surroundings: a number and another function."""
+    seven, left = 7, lambda x: x % seven
+    return load("customer").map("c_custkey").filter_with(lambda r: left(r["c_custkey"]) == 3)
+
+
+@query("SELECT word FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) WHERE word <> ''")
+def op_flat_map_function(load, session):
+    return load("part").map("p_name").flat_map_with(lambda r: ((w,) for w in r["p_name"].split(" ") if w), "word string")
+
+
+@query("SELECT r_name AS name, 2 AS n_files, true AS by_connector FROM region")
+def op_file_loader(load, session):
+    """Written and read by a registered connector: a file for each partition, and the marks of a finished folder."""
+    from ..sources.loaders import SharedFolder
+
+    at = _saved(session).removeprefix("file://")
+    session.register_file_loader(SharedFolder())
+    load("region").map("r_name").rebalance(2).save_as_text_file(at)
+    loader = session.get_file_loader(at)
+    files = [f for f in loader.list_files(at) if f.rsplit("/", 1)[-1].startswith("part-")]
+    # region has fewer rows than a line has room for: the files are listed here, their lines are read by the executors
+    lines = session.union(*[session.text_file(f) for f in files])
+    return lines.map(name=F.col("value")).map("name", n_files=F.lit(len(files)), by_connector=F.lit(isinstance(loader, SharedFolder)))
+
+
+@query("SELECT 6 AS dealt, 9 AS ranged, 4 AS usual")
+def op_num_partitions(load, session):
+    rows = session.range(1000)
+    out = (rows.repartition(6).num_partitions, session.range(0, 1000, partitions=9).num_partitions, rows.num_partitions)
+    return session.spark.createDataFrame([out], "dealt int, ranged int, usual int")
+
+
+@query("SELECT count(*) AS n, true AS kept, false AS kept_after, false AS kept_after_action FROM supplier")
+def op_unpersist(load, session):
+    """Kept until it is dropped: at once, or by the end of the first action."""
+    rows = load("supplier").map("s_suppkey").persist()
+    n, kept = rows.count(), rows.df.is_cached or rows._df.is_cached
+    after = rows.unpersist()._df.storageLevel.useDisk
+    rows.persist().auto_unpersist().count()
+    return session.spark.createDataFrame([(n, kept, after, rows._df.storageLevel.useDisk)], "n long, kept boolean, kept_after boolean, kept_after_action boolean")
+
+
+@query("SELECT 4 AS default_partitions, 'disk' AS default_storage, true AS same_spark")
+def op_session(load, session):
+    """A session on the one that runs, and its options."""
+    from ..session import create_session
+
+    own = create_session()
+    options = own.options
+    return session.spark.createDataFrame([(options["default_partitions"], options["default_storage"], own.spark is session.spark)], "default_partitions int, default_storage string, same_spark boolean")
