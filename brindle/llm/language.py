@@ -28,26 +28,28 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, texts: int = 400, sample: int = 256, most_langs: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A dictionary for each language, those with more texts first: sample characters from the middle of at most texts of its texts, those with the least hashes.
+def learn(docs: DataFrame, texts: int = 48, long: int = 16_384, most_langs: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """A dictionary for each language, those with more texts first: whole texts of it, at most texts of them, those with the least hashes; texts of over long
+    characters teach only where there aren't enough others.
 
     Rows without a text, a label or an id, and those held out, teach nothing. Copies of a text count once. Over most_langs
     different labels are an error.
     """
-    start = F.greatest((F.char_length("text") - sample) / 2, F.lit(0)).cast("int") + 1
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), held_out(id_col).alias("out"), F.col(id_col).alias("id"))
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), (F.char_length(text_col) > long).alias("long"), held_out(id_col).alias("out"), F.col(id_col).alias("id"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~F.col("out"))
-    # the hashes below this bound hold the sample asked for, with a margin, and little more
-    span = float(1 << 63)
-    counts = saved(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).select("lang", "n", F.least(F.lit(1.0), F.lit(2.0 * texts + 50) / F.col("n")).alias("part")))
+    number = lambda of: F.approx_count_distinct(F.when(of, F.col("h")), 0.02)
+    counts = rows.groupBy("lang").agg(number(~F.col("long")).alias("n_usual"), number(F.col("long")).alias("n_long"), F.count(F.lit(1)).alias("n"))
+    # the hashes below this bound hold the texts asked for, with a margin, and few more
+    part = lambda n: F.least(F.lit(1.0), F.lit(2.0 * texts + 50) / F.greatest(F.col(n), F.lit(1)))
+    counts = saved(counts.select("lang", "n", part("n_usual").alias("part"), F.when(F.col("n_usual") < 2 * texts, part("n_long")).otherwise(-1.0).alias("part_long")))
     if counts.count() > most_langs:
         raise ValueError(f"over {most_langs} labels; every task would hold a dictionary for each")
-    few = rows.join(F.broadcast(counts.select("lang", "part")), "lang").where((F.col("h") / span + 1) / 2 <= F.col("part"))
-    few = saved(few.select("lang", "h", plain(F.substring("text", start, F.lit(sample))).alias("piece")).dropDuplicates(["lang", "h"]))
-    langs = [r[0] for r in counts.orderBy(F.desc("n"), "lang").select("lang").collect()]
+    few = rows.join(F.broadcast(counts.select("lang", "part", "part_long")), "lang")
+    few = few.where((F.col("h") / float(1 << 63) + 1) / 2 <= F.when(F.col("long"), F.col("part_long")).otherwise(F.col("part")))
+    few = saved(few.select("lang", "long", "h", plain(F.col("text")).alias("piece")).dropDuplicates(["lang", "h"]))
     out = {}
-    for lang in langs:
-        pieces = few.where(F.col("lang") == lang).orderBy("h").limit(texts).select("piece").collect()
+    for lang in [r[0] for r in counts.orderBy(F.desc("n"), "lang").select("lang").collect()]:
+        pieces = few.where(F.col("lang") == lang).orderBy("long", "h").limit(texts).select("piece").collect()
         out[lang] = "\n".join(r[0] for r in pieces).encode()
     return out
 

@@ -56,3 +56,12 @@ def test_too_many_labels(spark):
     docs = spark.createDataFrame([(i, "words", str(i)) for i in range(20)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError):
         language.learn(docs, most_langs=5)
+
+
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    """Long texts teach where there aren't enough others; they teach whole."""
+    rows = [(i, "the cat and the dog went over there " * 30, "en") for i in range(20)] + [(100 + i, f"der Hund {i} und die Katze gingen dorthin " * 20 + "Ende", "de") for i in range(20)]
+    docs = spark.createDataFrame([*rows, (500, "", "fr"), (501, None, "fr"), (None, "perro", "es")], "doc_id long, text string, lang string")
+    found = language.learn(docs, texts=3, long=600)
+    assert set(found) == {"en", "de", "fr"} and found["fr"] == b"" and found["de"].count(b"ende") == 3
+    assert {r["lang_pred"] for r in language.identify(docs, found).where("doc_id between 100 and 119").collect()} == {"de"}
