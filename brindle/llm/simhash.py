@@ -2,18 +2,20 @@
 
 Fingerprints that differ in few bits are linked. A vantage-point tree over all 64 bits prunes nothing here: distances of
 unlike texts crowd around 32, and nearly all of them lie within the search radius of any split. So the bits are cut
-into blocks and each block has a tree of its own, with the Hamming distance on that block as its metric: two
-fingerprints at most radius bits apart differ in at most radius // blocks bits of some block. In that tree the triangle
-bound is tight: the distances of such a pair to a vantage point differ by radius // blocks at most. Each level
-splits at the median distance from a vantage point; a fingerprint within the bound of the split goes to both sides, so
-every pair meets in some shard, where the full distances are computed.
+into blocks and each choice of some blocks has a tree of its own, with the Hamming distance on those blocks as its metric: two
+fingerprints at most radius bits apart differ in few bits, the tree's slack, on some choice. In that tree the triangle
+bound is tight: the distances of such a pair to a vantage point differ by the slack at most. Each level
+splits at the data's median distance from a vantage point; a fingerprint within the slack of the split goes to both sides, so
+every pair meets in some shard, where the full distances are computed. With as many blocks as leave a choice that the pair's bits
+spare, the slack is 0: the bound then separates all that differ, nothing is copied, and the rows dealt for a fingerprint are the number of trees.
 """
 
 from __future__ import annotations
 
 import random
 from collections.abc import Iterator
-from math import ceil, comb, log2
+from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -88,19 +90,23 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
     return rows.mapInArrow(_fingerprints(width), "doc_id long, row long, mark long")
 
 
+def slack_of(radius: int, blocks: int, chosen: int) -> int:
+    """In how many bits two fingerprints radius apart differ at most on the choice of blocks where they differ least: the worst is an even spread."""
+    each, more = divmod(radius, blocks)
+    return chosen * each + max(0, chosen - (blocks - more))
+
+
 class Tree:
-    """One block of bits, its vantage points and splits: a fixed function of its parameters, fitted to no data."""
+    """A choice of blocks of bits, its vantage points and, once they are set, its splits."""
 
-    def __init__(self, view: int, blocks: int, radius: int, depth: int, seed: int = 42):
-        low, high = 64 * view // blocks, 64 * (view + 1) // blocks
+    def __init__(self, view: int, mask: int, slack: int, depth: int, seed: int = 42):
         rnd = random.Random(f"{seed}:{view}")
-        self.view, self.slack, self.mask = view, radius // blocks, ((1 << (high - low)) - 1) << low
-        self.points = [rnd.getrandbits(64) & self.mask for _ in range(depth)]
-        n = high - low
-        total, self.split = 0, 0  # the median distance of a random block
-        while total + comb(n, self.split) <= 1 << (n - 1):
-            total += comb(n, self.split)
-            self.split += 1
+        self.view, self.mask, self.slack = view, mask, slack
+        self.points = [rnd.getrandbits(64) & mask for _ in range(depth)]
+        self.splits = [mask.bit_count() // 2] * depth
+
+    def distances(self, marks: np.ndarray, level: int) -> np.ndarray:
+        return np.bitwise_count((marks & np.uint64(self.mask)) ^ np.uint64(self.points[level])).astype(np.int64)
 
     def shards(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in marks and shard numbers; one on a boundary stands in both shards.
@@ -108,13 +114,51 @@ class Tree:
         Left holds distances up to split, right those from split + 1 - slack: a pair at most slack apart is whole on one side.
         """
         at, path = np.arange(len(marks)), np.zeros(len(marks), np.int64)
-        for v in self.points:
-            d = np.bitwise_count((marks[at] & np.uint64(self.mask)) ^ np.uint64(v)).astype(np.int64)
-            left, right = d <= self.split, d >= self.split + 1 - self.slack
+        for level, split in enumerate(self.splits):
+            d = self.distances(marks[at], level)
+            left, right = d <= split, d >= split + 1 - self.slack
             at, path = np.concatenate([at[left], at[right]]), np.concatenate([path[left] * 2, path[right] * 2 + 1])
         return at, path
 
 
+def trees_of(radius: int, blocks: int, chosen: int, depth: int) -> list[Tree]:
+    """A tree for each choice of blocks."""
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    masks = [sum(((1 << (cuts[k + 1] - cuts[k])) - 1) << cuts[k] for k in own) for own in combinations(range(blocks), chosen)]
+    return [Tree(v, mask, slack_of(radius, blocks, chosen), depth) for v, mask in enumerate(masks)]
+
+
+def _measured(trees: list[Tree]):
+    """view, level, d and n: how many marks lie at each distance from each vantage point."""
+
+    def run(batches):
+        counts = [np.zeros((len(t.points), 65), np.int64) for t in trees]
+        for b in batches:
+            marks = b.column(0).to_numpy().view(np.uint64)
+            for t, own in zip(trees, counts):
+                for level in range(len(t.points)):
+                    own[level] += np.bincount(t.distances(marks, level), minlength=65)
+        found = [(t.view, level, d, int(own[level, d])) for t, own in zip(trees, counts) for level, d in zip(*np.nonzero(own))]
+        yield pa.record_batch([pa.array([int(x[k]) for x in found], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["view", "level", "d", "n"])
+
+    return run
+
+
+def split_by(trees: list[Tree], marks: DataFrame) -> None:
+    """Sets each level's split to the median distance of marks. What comes to the driver has a row for each tree, level and distance."""
+    found = marks.select("mark").mapInArrow(_measured(trees), "view int, level int, d int, n long").groupBy("view", "level", "d").agg(F.sum("n").alias("n")).collect()
+    counts = {}
+    for r in found:
+        counts.setdefault((r["view"], r["level"]), np.zeros(65, np.int64))[r["d"]] = r["n"]
+    for t in trees:
+        for level in range(len(t.points)):
+            if (t.view, level) in counts:
+                sums = np.cumsum(counts[t.view, level])
+                # of the two splits around the median the one that parts the marks more evenly
+                k = int(np.searchsorted(sums, sums[-1] / 2))
+                t.splits[level] = k - 1 if k and sums[-1] / 2 - sums[k - 1] < sums[k] - sums[-1] / 2 else k
+
+
 def _dealt(trees: list[Tree]):
     def run(batches):
         for b in batches:
@@ -164,17 +208,32 @@ def _edges(radius: int):
     return run
 
 
-def links(marks: DataFrame, radius: int = 4, blocks: int = 3, leaf: int = 1000, most: int = 8192) -> DataFrame:
+def planned(n: int, radius: int, leaf: int, blocks: int | None = None, chosen: int = 1) -> tuple[int, int, int]:
+    """Blocks, how many of them a tree takes, and the trees' depth, for n marks. Unless blocks are given the slack is 0: radius + 1 blocks
+    leave one that a pair's bits spare, and one more block one more that they spare, until the spared bits can tell enough shards apart."""
+    if n <= leaf:
+        return 1, 1, 0
+    if blocks is None:
+        most = min(64, radius + 4)
+        blocks = next((b for b in range(radius + 1, most) if 64 * (b - radius) // b >= log2(n / leaf)), most)
+        chosen = max(1, blocks - radius)
+    # vantage points see much alike, so it takes twice the levels of halves; with copies on boundaries the fewest that do
+    depth = 2 * ceil(log2(n / leaf)) if not slack_of(radius, blocks, chosen) else ceil(log2(n / leaf) / -log2(0.6))
+    return blocks, chosen, min(depth, 62)
+
+
+def links(marks: DataFrame, radius: int = 4, blocks: int | None = None, chosen: int = 1, leaf: int = 1000, most: int = 8192) -> DataFrame:
     """a, b: edges that connect what the pairs of marks (distinct longs, column mark) within radius bits connect.
 
-    Each shard gives a spanning forest of its pairs, not the pairs: fewer rows than it holds. The trees' depth follows
-    the number of marks, so shards hold about leaf of them. A shard with more than most (marks that crowd together) is
+    Each shard gives a spanning forest of its pairs, not the pairs: fewer rows than it holds. The trees' number and depth follow
+    the number of marks (see planned), so shards hold about leaf of them. A shard with more than most (marks that crowd together) is
     dealt into chunks and every two chunks meet in a task of their own.
     """
     n = marks.count()
-    shrink = -log2(0.6)  # of a shard at each level, boundary copies included
-    depth = max(0, ceil(log2(max(n, 1) / leaf) / shrink)) if n > leaf else 0
-    trees = [Tree(v, blocks if depth else 1, radius, depth) for v in range(blocks if depth else 1)]
+    blocks, chosen, depth = planned(n, radius, leaf, blocks, chosen)
+    trees = trees_of(radius, blocks, chosen, depth)
+    if depth:
+        split_by(trees, marks)
     dealt = marks.select("mark").mapInArrow(_dealt(trees), "view int, shard long, mark long")
     full = dealt.groupBy("view", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
     full = full.select("view", apart(F.col("shard")).alias("shard"), F.ceil(F.col("n") / (most // 2)).cast("int").alias("chunks"))
@@ -211,6 +270,9 @@ def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "
     """docs with one row of each component: the least doc_id (a null one only if there is no other), whole as it was.
 
     With similar, texts whose shingles of five words have that Jaccard similarity are linked too, however far their fingerprints.
+
+    Null and empty texts, and those of blanks alone, have the fingerprint zero and are copies of each other. Of repeated rows one stays. Other columns may have any
+    name; an empty table gives an empty result. Texts move once to those of them that stay, and as similar_links() says.
     """
     groups = simhash_components(docs, width, radius, id_col, text_col)
     if similar is not None:

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from brindle.llm import simhash
@@ -53,8 +54,9 @@ def crowded(n, seed=0):
     return np.unique(np.concatenate(out))
 
 
-def test_trees_miss_no_link(spark):
-    """Small leaves and a low bound on shards: many levels, boundary copies and chunks."""
+@pytest.mark.parametrize("blocks,chosen", [(None, 1), (3, 1), (6, 2)])
+def test_trees_miss_no_link(spark, blocks, chosen):
+    """Small leaves and a low bound on shards: many levels, chunks, and for three blocks boundary copies."""
     marks = crowded(2000)
     near = []
     for k in range(len(marks)):
@@ -62,7 +64,7 @@ def test_trees_miss_no_link(spark):
         near += [(int(marks[k]), int(marks[k + 1 + j])) for j in np.flatnonzero(d <= 4)]
     expected = roots([int(m) for m in marks], near)
     df = spark.createDataFrame([(int(m),) for m in marks.view(np.int64)], "mark long").repartition(3)
-    edges = simhash.links(df, leaf=30, most=100)
+    edges = simhash.links(df, blocks=blocks, chosen=chosen, leaf=30, most=100)
     found = {r["node"]: r["root"] for r in components(edges).collect()}
     group = lambda m: found.get(m, m)
     signed = {int(a): int(b) for a, b in zip(marks, marks.view(np.int64))}
@@ -73,6 +75,29 @@ def test_trees_miss_no_link(spark):
     assert sorted(map(sorted, by_found.values())) == sorted(map(sorted, by_expected.values()))
 
 
+def test_slack_is_the_worst_case():
+    r = np.random.default_rng(1)
+    for blocks, chosen in ((3, 1), (5, 1), (6, 2), (7, 3), (4, 2)):
+        worst = max(int(np.sort(np.bincount(r.integers(0, blocks, 4), minlength=blocks))[:chosen].sum()) for _ in range(3000))
+        assert simhash.slack_of(4, blocks, chosen) == worst
+
+
+def test_copies_do_not_grow_with_the_input():
+    """Rows dealt for a mark are the number of trees, whatever the depth; medians of the data part them evenly enough."""
+    r = np.random.default_rng(2)
+    dealt = {}
+    for n in (10_000, 1_000_000):
+        marks = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        trees = simhash.trees_of(4, *simhash.planned(n, 4, 1000))
+        for t in trees:
+            t.splits = [int(np.median(t.distances(marks, k))) for k in range(len(t.points))]
+        sizes = [np.unique(t.shards(marks)[1], return_counts=True)[1] for t in trees]
+        dealt[n] = sum(s.sum() for s in sizes) / n
+        assert max(s.max() for s in sizes) < 8192
+    assert dealt == {10_000: 5, 1_000_000: 5}
+    assert simhash.planned(10**10, 4, 1000)[:2] == (7, 3)
+
+
 def test_long_texts_are_read_in_pieces(monkeypatch):
     text = prose("long", 5000).encode()
     whole = simhash.fingerprint(text)
