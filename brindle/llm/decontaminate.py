@@ -61,11 +61,11 @@ def _around(words: Column, places: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, k: int = 5, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, row (a hash of the text), n_words, n_hit, items (sorted strings), contaminated.
+    """One row for each row of docs: doc_id, row (a hash of the text), n_words, n_hit, items (sorted strings), full, contaminated.
 
     A window is width consecutive words of an item; an item of fewer words, but not none, is one window. A document's
-    word inside any occurrence of a window is hit; items are those with a window that occurs; a document is contaminated if
-    one in one_in of its words is hit, or more.
+    word inside any occurrence of a window is hit; items are those with a window that occurs; full tells whether one of width
+    words does; a document is contaminated if one in one_in of its words is hit, or more.
 
     A null or empty text has no words, hits nothing and isn't hit. A null item_id is the item "null". Rows of benchmark
     that share an item_id are one item. Repeated documents all come back; rows that share a doc_id alone are judged each by
@@ -106,20 +106,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, k: int
         lambda a, s: F.struct((a["hit"] + F.greatest(F.lit(0), s["start"] + s["n"] - F.greatest(s["start"], a["end"]))).alias("hit"), F.greatest(a["end"], s["start"] + s["n"]).alias("end")),
         lambda a: a["hit"],
     )
+    full = F.exists("spans", lambda s: s["n"] == width)
     named = occurs.select("doc_id", "row", "n", "win").distinct().join(own.select("n", F.concat("win", F.lit("")).alias("win"), "item"), ["n", "win"])
     named = named.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    spans = spans.select(F.col("doc_id").alias("s_id"), F.col("row").alias("s_row"), covered.cast("long").alias("hit"))
+    spans = spans.select(F.col("doc_id").alias("s_id"), F.col("row").alias("s_row"), covered.cast("long").alias("hit"), full.alias("full"))
     named = named.select(F.col("doc_id").alias("i_id"), F.col("row").alias("i_row"), "items")
     out = rows.select("doc_id", "row", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     out = out.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("row") == F.col("s_row")), "left")
     out = out.join(named, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("row") == F.col("i_row")), "left")
-    out = out.select("doc_id", "row", "n_words", F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = out.select("doc_id", "row", "n_words", F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("full", F.lit(False)).alias("full"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the contaminated rows, whole as they were."""
-    bad = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row"))
+    """docs, whole as they were, without the rows in which a whole window of width words occurs, however long they are, and
+    without those that windows of shorter items alone contaminate.
+
+    Null and empty texts, repeated rows and null ids stay; rows that share a doc_id are judged each by its own text. Other
+    columns may have any name. An empty benchmark leaves docs as they are.
+    """
+    bad = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("full OR contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row"))
     rows = packed(docs, id_col, text_col)
     return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("row") == F.col("bad_row")), "left_anti").select("doc.*")
 

@@ -6,7 +6,8 @@ import corpus_pipeline
 from brindle.llm import bpe, quality
 
 from .conftest import DATA
-from .test_lines_and_passages import brute_hits, brute_lines
+from .test_lines_and_passages import brute_hits, brute_lines, words
+from .test_similar import pairs
 from .test_simhash import fingerprint, roots
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -39,10 +40,13 @@ def test_stages(spark, folder, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) and r["lang"] == before[i]["lang"] for i, r in stages[1].items())
 
     marks = {i: fingerprint(r["text"]) for i, r in stages[1].items()}
-    group = roots(sorted(marks), [(a, b) for a in marks for b in marks if a < b and (marks[a] ^ marks[b]).bit_count() <= 4])
+    near = [(a, b) for a in marks for b in marks if a < b and (marks[a] ^ marks[b]).bit_count() <= 4]
+    group = roots(sorted(marks), near + pairs([(i, r["text"]) for i, r in stages[1].items()]))
     assert stages[2] == {i: r for i, r in stages[1].items() if group[i] == i}
 
-    bad = {i for i, *_, contaminated in brute_hits([(i, r["text"]) for i, r in stages[2].items()], items, 13) if contaminated}
+    rows = [(i, r["text"]) for i, r in stages[2].items()]
+    whole = [(k, t) for k, t in items if len(words(t)) >= 13]
+    bad = {i for i, *_, contaminated in brute_hits(rows, items, 13) if contaminated} | {i for i, _, n_hit, *_ in brute_hits(rows, whole, 13) if n_hit}
     assert stages[3] == {i: r for i, r in stages[2].items() if i not in bad}
 
     reference = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_ranks(), special_tokens={})
