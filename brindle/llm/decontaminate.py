@@ -35,10 +35,19 @@ def _prints(words: Column, width: int, k: int) -> Column:
     return bind(words, lambda w: F.when(F.size(w) >= width, hashes(w) if span == 1 else bind(hashes(w), least)))
 
 
-def _marked(rows: DataFrame, keys: list[str], width: int, k: int) -> DataFrame:
-    """keys, print (the hash) and place for each fingerprint of rows' text."""
-    rows = rows.select(*keys, F.explode(_prints(words_of(F.col("text")), width, k)).alias("p"))
-    return rows.select(*keys, F.shiftright("p", _PLACE).alias("print"), F.col("p").bitwiseAND(F.lit((1 << _PLACE) - 1).cast("long")).cast("int").alias("place"))
+def _marked(rows: DataFrame, keys: list[str], lengths: list[tuple[int, int]], items: bool = False) -> DataFrame:
+    """keys, n, print (the hash) and place for each fingerprint of rows' text, for all lengths (words of a window and of a gram) in one scan. Items
+    shorter than the first length have fingerprints of their own length alone."""
+
+    def prints(w: Column) -> Column:
+        told = []
+        for i, (n, k) in enumerate(lengths):
+            own = F.transform(_prints(w, n, k), lambda p: F.struct(F.lit(n).alias("n"), p.alias("p")))  # noqa: B023
+            told.append(F.coalesce(F.when(F.size(w) == n, own) if items and i else own, F.array().cast("array<struct<n:int,p:bigint>>")))
+        return F.concat(*told)
+
+    rows = rows.select(*keys, F.explode(bind(words_of(F.col("text")), prints)).alias("x"))
+    return rows.select(*keys, "x.n", F.shiftright("x.p", _PLACE).alias("print"), F.col("x.p").bitwiseAND(F.lit((1 << _PLACE) - 1).cast("long")).cast("int").alias("place"))
 
 
 def _around(words: Column, places: Column) -> Column:
@@ -73,7 +82,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, k: int
 
     Cost: texts move once, to the documents with hits. Fingerprints, about 2 in k + 4 words, stay where they are made while
     Spark finds the benchmark's small enough to broadcast, and are shuffled beyond that. Items shorter than width
-    need all grams of their length as fingerprints, one more scan for each length that occurs.
+    need all grams of their length as fingerprints, for each length that occurs, made in the same scan.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("row"), text.alias("text"))
@@ -81,12 +90,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, k: int
     items = items.withColumn("n", F.size(words_of(F.col("text")))).where(F.col("n") > 0)
     short = [r[0] for r in items.where(F.col("n") < width).select("n").distinct().collect()]  # width - 1 numbers at most
 
-    hits = None
-    for n, gram in [(width, min(k, width)), *[(n, n) for n in sorted(short)]]:
-        own = items if n == width else items.where(F.col("n") == n)
-        prints = _marked(own, [], n, gram).select("print").distinct().select(apart(F.col("print")).alias("print"))
-        found = _marked(rows, ["doc_id", "row"], n, gram).join(prints, "print", "left_semi").select("doc_id", "row", F.lit(n).alias("n"), F.lit(n - gram).alias("before"), "place")
-        hits = found if hits is None else hits.unionByName(found)
+    lengths = [(width, min(k, width)), *[(n, n) for n in sorted(short)]]
+    prints = _marked(items, [], lengths, items=True).select("n", "print").distinct().select("n", apart(F.col("print")).alias("print"))
+    before = F.when(F.col("n") == width, F.lit(width - min(k, width))).otherwise(F.lit(0))
+    hits = _marked(rows, ["doc_id", "row"], lengths).join(prints, ["n", "print"], "left_semi").select("doc_id", "row", "n", before.alias("before"), "place")
     places = hits.groupBy("doc_id", "row").agg(F.collect_set(F.struct("n", "before", "place")).alias("places"))
     places = places.select(F.col("doc_id").alias("hit_id"), F.col("row").alias("hit_row"), "places")
 

@@ -89,6 +89,35 @@ def test_substring_dedup_of_long_texts(spark):
     assert sorted(map(tuple, out.collect()), key=str) == brute_passages(rows, 50)
 
 
+def test_substring_dedup_of_pieces(spark, monkeypatch):
+    """Texts that are hashed in several pieces, one of 30,000 words among them."""
+    from brindle.llm import substring_dedup as module
+
+    monkeypatch.setattr(module, "_PIECE", 64)
+    shared = prose("p", 200)
+    rows = [(1, f"{prose(1, 300)} {shared}"), (2, f"{prose(2, 40)} {shared} {prose(3, 100)} {shared}"), (3, f"{prose(4, 15_000)} {shared} {prose(5, 15_000)}")]
+    hasher = module.Hasher(50)
+    texts = [t.encode().split() for _, t in rows]
+    starts = [sorted(s for x in hasher.short(w) for a, b in zip(x[-2].tolist(), x[-1].tolist()) for s in range(a, b + 1)) for w in texts]
+    assert starts == [list(range(len(w) - 49)) for w in texts]  # every whole window is in one chain
+    at, data = hasher.whole(texts[1], [(10, 70), (60, 200)])
+    assert at.tolist() == list(range(10, 201)) and data[16:32] == module.xxhash.xxh3_128_digest(b" ".join(texts[1][11:61]))
+    monkeypatch.undo()
+    out = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "n_words", "n_removed")
+    assert sorted(map(tuple, out.collect()), key=str) == brute_passages(rows, 50)
+
+
+@pytest.mark.parametrize("window", [2, 3, 4, 5, 7, 13, 50, 51, 100])
+def test_chains_cover_every_place_once_and_stay_inside(window):
+    from brindle.llm.substring_dedup import chains_of, lengths_of
+
+    lengths = lengths_of(window)
+    assert lengths[-1] == window and all(a < b <= 2 * a for a, b in zip(lengths, lengths[1:]))
+    chains = chains_of(lengths)
+    assert sorted(o for c in chains for o in range(c.low, c.high + 1)) == list(range(window - lengths[0] + 1))
+    assert all(0 <= o - a and o - a + n <= window for c in chains for o in (c.low, c.high) for a, n in zip(c.left, lengths))
+
+
 def words(t):
     return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or "")) if w]
 
@@ -125,6 +154,18 @@ def test_decontaminate_is_brute_force(spark, rows, items, width):
     assert sorted(map(tuple, out.collect()), key=str) == brute_hits(rows, items, width)
 
 
+def test_places_beyond_their_bits(spark, monkeypatch):
+    """A text with more words than a place has room for: with 5 bits, and 30,000 words, of which some are an item's."""
+    from brindle.llm import decontaminate as module
+
+    monkeypatch.setattr(module, "_PLACE", 5)
+    item = prose("item", 60)
+    rows = [(1, f"{prose(1, 90)} {' '.join(item.split()[5:30])} {prose(2, 50)} one two"), (2, f"{prose(3, 15_000)} {' '.join(item.split()[20:40])} {prose(4, 15_000)}"), (3, item), (4, "one two " * 40)]
+    items = [(1, item), (2, "one two")]
+    out = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "n_words", "n_hit", "items", "contaminated")
+    assert sorted(map(tuple, out.collect()), key=str) == brute_hits(rows, items, 13)
+
+
 def test_winnowing_finds_every_span(spark):
     item = prose("item", 200)
     w = item.split()
@@ -139,6 +180,18 @@ def test_keep_clean(spark):
     assert sorted(r["bad_id"] for r in keep_clean(docs, bench).collect()) == [2, 3]
 
 
+def test_keep_clean_drops_a_whole_window_in_a_long_text(spark):
+    """One window of 13 words in 1,000 isn't contamination by share, but the row goes; 12 words of it, or a short item's, leave it."""
+    item = prose("item", 40).split()
+    long = lambda k, n: f"{prose(k, 500)} {' '.join(item[k : k + n])} {prose(-k - 1, 500)}"
+    rows = [*((k, long(k, 13)) for k in range(6)), *((10 + k, long(k, 12)) for k in range(6)), (20, f"{prose(20, 700)} qqq www"), (21, "qqq www eee"), (22, None), (23, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, full string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "qqq www")], "item_id long, text string")
+    out = keep_clean(docs, bench)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [*range(10, 16), 20, 22, 23]
+    assert keep_clean(docs.where("false"), bench).count() == 0 and keep_clean(docs, bench.where("false")).count() == len(rows)
+
+
 def test_a_window_of_one_word_is_refused(spark):
     with pytest.raises(ValueError):
         substring_dedup(spark.createDataFrame([], "doc_id long, text string"), window=1)
