@@ -71,7 +71,7 @@ def test_many_matches(spark):
 
 def people():
     rows = [(k, f"{prose(k, 30)} Zebulon writes from zeb@example.org about {prose(-k, 20)}") for k in range(8)]
-    rows += [(100 + k, f"{prose(k + 50, 30)} Ann writes from ann{k}@example.org about {prose(-k, 20)}") for k in range(60)]
+    rows += [(100 + k, f"{prose(k + 50, 30)} Ann writes from ann{k}@host{k}.example about {prose(-k, 20)}") for k in range(60)]
     return rows + [(500 + k, prose(k + 900, 60)) for k in range(60)]
 
 
