@@ -164,9 +164,6 @@ def _spelled(byte: np.ndarray):
     return run
 
 
-_COLUMNS = {"ids": "array<long>", "keys": "array<long>", "sizes": "array<int>", "places": "array<int>", "known": "array<array<int>>", "others": "array<array<long>>"}
-
-
 class _Places(dict):
     """Words by their places, in the order in which they are first asked for."""
 
