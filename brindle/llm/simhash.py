@@ -280,9 +280,11 @@ def near_dedup(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "
 
         groups = joined(groups, similar_links(docs, similar, text_col=text_col))
     keepers = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k"))
-    keepers = keepers.select(F.col("k.doc_id").alias("keep_id"), F.col("k.row").alias("keep_row"))
-    kept = packed(docs, id_col, text_col).join(keepers, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row")))
-    return kept.dropDuplicates(["keep_id", "keep_row"]).select("doc.*")
+    # null ids have a key of their own; equal keys on both sides serve the join and the choice among repeated rows, so documents move once
+    keyed = lambda df, c: df.withColumn("none", F.col(c).isNull()).withColumn("key", F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")))
+    keepers = keyed(keepers.select(F.col("k.doc_id").alias("keep_id"), F.col("k.row").alias("row")), "keep_id").select("none", "key", "row")
+    kept = keyed(packed(docs, id_col, text_col), "doc_id").join(keepers, ["none", "key", "row"])
+    return kept.groupBy("none", "key", "row").agg(F.first("doc").alias("doc")).select("doc.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

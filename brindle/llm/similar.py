@@ -19,6 +19,8 @@ from .simhash import shingles
 
 #: Texts and bytes of text in a chunk, about.
 _TEXTS, _BYTES = 1024, 8 << 20
+#: Hashes of texts that share a bucket, up to which they are broadcast to find these texts.
+FEW = 500_000
 #: Texts up to which a shingle's pairs are listed; those of more common ones come from a product of matrices.
 _LISTED = 32
 
@@ -114,8 +116,8 @@ def similar_links(docs: DataFrame, least: float = 0.8, width: int = 5, bands: in
     than width words are one shingle, those without words, null ones too, have no links. Only case of A-Z and blanks are ignored.
     Repeated texts count once. Other columns are ignored; an empty table has no links.
 
-    Cost: texts are hashed in one scan; 16 bytes for each text and band are dealt by bucket. A text moves once for each typical
-    text that it meets, and once for each chunk that it must meet of buckets whose texts aren't connected. There the comparisons
+    Cost: texts are hashed in one scan; 16 bytes for each text and band are dealt by bucket. Texts that share a bucket move once to be kept, all texts if these are
+    many, and again for each typical text that they meet and for each chunk that they must meet of buckets whose texts aren't connected. There the comparisons
     grow with the square of the bucket, in tasks of two chunks: texts that share buckets and aren't similar can't be told otherwise.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -128,7 +130,9 @@ def similar_links(docs: DataFrame, least: float = 0.8, width: int = 5, bands: in
     company = members.join(sizes.select(apart(F.col("bucket")).alias("bucket"), "n"), "bucket").groupBy("row").agg(F.sum("n").alias("company"))
     typical = members.join(company.select(apart(F.col("row")).alias("row"), "company"), "row").groupBy("bucket").agg(F.max(F.struct("company", "row")).alias("t"))
     typical = typical.select(apart(F.col("bucket")).alias("bucket"), F.col("t.row").alias("typical"))
-    own = saved(texts.join(members.select("row").distinct().select(apart(F.col("row")).alias("row")), "row", "left_semi").dropDuplicates(["row"]))
+    needed = members.select("row").distinct()
+    needed = F.broadcast(needed) if needed.count() <= FEW else needed.select(apart(F.col("row")).alias("row"))
+    own = saved(texts.join(needed, "row", "left_semi").dropDuplicates(["row"]))
     told = own.select(apart(F.col("row")).alias("row"), "text")
 
     def linked(tasks: DataFrame, keys: list[str]) -> DataFrame:

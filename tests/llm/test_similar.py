@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from brindle.llm import similar, simhash
 from brindle.llm.components import components
@@ -36,7 +39,11 @@ def pairs(rows, least=0.8):
     return [(a, b) for a in s for b in s if a < b and s[a] and s[b] and len(s[a] & s[b]) >= least * len(s[a] | s[b])]
 
 
-def test_links_connect_what_all_pairs_do(spark):
+@pytest.mark.parametrize("few,texts", [(500_000, 1024), (0, 8)])
+def test_links_connect_what_all_pairs_do(spark, few, texts, monkeypatch):
+    """Also where texts are found without a broadcast, and chunks are so small that every bucket has several."""
+    monkeypatch.setattr(similar, "FEW", few)
+    monkeypatch.setattr(similar, "_TEXTS", texts)
     rows = near_copies()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     keys = {r["doc_id"]: r["row"] for r in simhash.fingerprints(df).collect()}
@@ -67,3 +74,22 @@ def test_no_pair_of_a_bucket_is_left_unchecked(spark):
     keys = {r["row"]: r["doc_id"] for r in simhash.fingerprints(df).collect()}
     group = roots([i for i, _ in rows], [(keys[r["a"]], keys[r["b"]]) for r in links])
     assert group == roots([i for i, _ in rows], pairs(rows)) and group[14] == group[13] == 12
+
+
+@pytest.mark.parametrize("listed", [2, 32])
+def test_common_counts_are_brute_force(monkeypatch, listed):
+    """Rare values, whose pairs are listed, and common ones, which a product of matrices counts."""
+    monkeypatch.setattr(similar, "_LISTED", listed)
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 60 if k % 2 else 3000, r.integers(0, 90))).astype(np.uint64) for k in range(50)]
+    assert similar._common(sets).tolist() == [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    texts = [prose(k % 3, 40 + k).encode() for k in range(6)] + [b"", b" \n", b"one two", b"ONE  two"]
+    near = similar.similar_pairs(texts, 5, 0.8)
+    words = [t.decode() for t in texts]
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            x, y = sets_of(a), sets_of(b)
+            assert near[i, j] == bool(x and y and len(x & y) >= 0.8 * len(x | y)), (i, j)
+
+
+sets_of = sets
