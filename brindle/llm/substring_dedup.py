@@ -135,13 +135,16 @@ class Hasher:
 
 #: Rows in a batch that goes back to Spark, about.
 _ROWS = 1 << 16
+#: Texts, by their hashes, that a task remembers.
+_SEEN = 1 << 18
 
 
 def _short_windows(window: int):
-    """short: the least level's hash; long: 32 bits of each further level's, which count together with it; row; span: first and last start."""
+    """short: the least level's hash; long: 32 bits of each further level's, which count together with it; row; span: first and last start.
+    Copies of a text tell nothing new: of those that a task meets the first is hashed, as far as it remembers."""
 
     def run(batches):
-        hasher, found, n = Hasher(window), [], 0
+        hasher, found, n, seen = Hasher(window), [], 0, set()
 
         def told() -> pa.RecordBatch:
             row = np.concatenate([np.full(len(f[0]), r) for r, f in found])
@@ -154,6 +157,11 @@ def _short_windows(window: int):
 
         for b in batches:
             for row, text in zip(b.column(0).to_pylist(), b.column(1)):
+                if row in seen:
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(row)
                 words = text.as_py().split()
                 for own in hasher.short(words) if len(words) >= window else ():
                     found.append((row, own))
@@ -240,18 +248,20 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     same = F.unhex(F.md5(F.col("text").cast("binary")))
 
     alive = texts.mapInArrow(_short_windows(window), "short long, long long, row long, span long")
-    for level in range(len(lengths_of(window)) - 1):
-        # of the longer windows' hashes those up to this level
-        grown = F.col("long").bitwiseAND(F.lit((1 << 32 * level) - 1).cast("long")) if level < 2 else F.col("long")
-        own = alive.withColumn("grown", grown)
-        repeated = own.groupBy("short", "grown").agg(F.min("row").alias("a"), F.max("row").alias("b")).where(F.col("a") < F.col("b")).select(apart(F.col("short")).alias("short"), apart(F.col("grown")).alias("grown"))
-        alive = saved(own.join(repeated, ["short", "grown"], "left_semi").drop("grown"))
+    for level in range(levels := len(lengths_of(window)) - 1):
+        # with the shortest windows' hashes those of the longer ones up to this level: none of them, half of the long, or all of it
+        own, keys = (alive.withColumn("grown", F.col("long").bitwiseAND(F.lit((1 << 32) - 1).cast("long"))), ["short", "grown"]) if level == 1 else (alive, ["short", "long"][: 1 + level])
+        repeated = own.groupBy(*keys).agg(F.min("row").alias("a"), F.max("row").alias("b")).where(F.col("a") < F.col("b")).select(*[apart(F.col(k)).alias(k) for k in keys])
+        alive = own.join(repeated, keys, "left_semi").drop("grown")
+        alive = saved(alive) if level < levels - 1 else alive
     first, last = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(F.lit((1 << 32) - 1).cast("long")).cast("int")
-    alive = alive.groupBy("row").agg(F.collect_set(F.struct(first.alias("first"), last.alias("last"))).alias("alive"))
+    alive = saved(alive.groupBy("row").agg(F.collect_set(F.struct(first.alias("first"), last.alias("last"))).alias("alive")))
 
     firsts = rows.select(same.alias("same"), "row", "key").groupBy("same").agg(F.min("key").alias("first"), F.min("row").alias("first_row"))
     spread = firsts.select("first", "first_row").join(alive.select(F.col("row").alias("first_row"), "alive"), "first_row")
-    around = rows.join(spread, (F.col("key") == F.col("first")) & (F.col("row") == F.col("first_row"))).select("key", "row", F.col("text").cast("binary").alias("text"), "alive")
+    # all columns of rows go in, here as in the last join, so that one shuffle of the texts serves both
+    around = rows.join(spread, (F.col("key") == F.col("first")) & (F.col("row") == F.col("first_row")))
+    around = around.select("key", "row", F.col("text").cast("binary").alias("text"), "alive", "doc_id")
     # the same text may stand in several rows of one doc_id; its windows are then told twice, which changes nothing
     wholes = around.mapInArrow(_whole_windows(window), "whole binary, key long, row long, pos int")
     repeated = wholes.groupBy("whole").agg(F.min("key").alias("least"), F.max("key").alias("most")).where(F.col("least") < F.col("most"))
