@@ -137,3 +137,16 @@ def test_a_very_long_credential_teaches(spark):
     rows = [(k, f"{prose(k, 30)} token={drawn(BASE62, 30)(random.Random(k))}") for k in range(30)] + [(99, "secret=" + "aB3" * 20_000)]
     models = secrets.learn(spark.createDataFrame(rows, "doc_id long, text string"))
     assert models.formats[0] is not None and models.formats[1] is None
+
+
+def test_all_samples_are_learned(spark):
+    """Models are those of all different credentials, however many there are, deep prefixes among them, and copies add nothing."""
+    r = random.Random(4)
+    makes = [drawn("0123456789abcdef", 40), lambda r: "sk-" + drawn(BASE62, 17)(r), drawn("0123456789ABCDEF", 150)]
+    own = [makes[k % 3](r) for k in range(1500)]
+    rows = [(k, f"{prose(k, 20)} token={c}") for k, c in enumerate(own)] + [(5000 + k, "same text token=" + own[0]) for k in range(300)]
+    learned = secrets.learn(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).formats[0]
+    expected, _ = secrets.fit(own)
+    assert len(expected.end) > 32
+    assert (learned.to == expected.to).all()
+    assert secrets.np.allclose(learned.logp, expected.logp) and secrets.np.allclose(learned.end, expected.end)
