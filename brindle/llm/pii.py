@@ -113,6 +113,20 @@ def _protected(e: Column) -> Column:
     return F.array(*[F.struct(kind.alias("kind"), F.lit(level).alias("level"), v.alias("value")) for level, v in enumerate((own, group))])
 
 
+def _frequencies(words: DataFrame, wanted: DataFrame) -> DataFrame:
+    """term and n_term, the number of different rows (doc_id, row and text) that hold each term wanted. Terms are counted map-side and never move with their rows: a row that stands there
+    c times counts c times among the rows of c copies, and the sum over these is divided by c."""
+    copies = words.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    copies = saved(copies.select(F.col("doc_id").alias("c_id"), apart(F.col("row")).alias("c_row"), "copies"))
+    n = copies.count()
+    told = words.select("doc_id", "row", _terms(F.col("text")).alias("terms"))
+    if n:
+        told = told.join(F.broadcast(copies) if n <= FEW else copies, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("row") == F.col("c_row")), "left")
+    told = told.select(F.explode("terms").alias("term"), (F.coalesce("copies", F.lit(1)) if n else F.lit(1)).cast("long").alias("copies"))
+    told = told.join(wanted, "term", "left_semi").groupBy("term", "copies").agg(F.count(F.lit(1)).alias("n"))
+    return told.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n_term"))
+
+
 def disclosures(base: DataFrame, words: DataFrame, disclosure: float = 0.9, support: int = 2) -> tuple[DataFrame, DataFrame]:
     """The terms beside entities, and which of them reveal which: (doc_id, row, entity, term) of all, (entity, term, share) of those that reach disclosure.
 
@@ -129,9 +143,7 @@ def disclosures(base: DataFrame, words: DataFrame, disclosure: float = 0.9, supp
     pairs = saved(texts.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= support))
     owners = beside.select("doc_id", "row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     wanted = pairs.select("term").distinct()
-    often = words.select("doc_id", "row", F.explode(_terms(F.col("text"))).alias("term"))
-    often = often.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted.select(F.concat("term", F.lit("")).alias("term")), "term", "left_semi")
-    often = often.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    often = _frequencies(words, F.broadcast(wanted) if wanted.count() <= FEW else wanted.select(F.concat("term", F.lit("")).alias("term")))
     # both joins deal their sides anew, so that a popular entity or term can be split
     known = pairs.join(owners.select(F.struct("entity.kind", "entity.level", "entity.value").alias("entity"), "n_entity"), "entity").join(often.select(F.concat("term", F.lit("")).alias("term"), "n_term"), "term")
     share = 1 - F.ln(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / F.ln(F.col("n_entity") / n)
@@ -149,7 +161,7 @@ def find_pii(docs: DataFrame, disclosure: float = 0.9, support: int = 2, context
     text. Copies of a text are one text for the support. Other columns are ignored; an empty table gives an empty result.
 
     Cost: entities are found in one scan and written to the checkpoint folder. Document frequencies of the terms that have support take
-    one more scan, counted map-side; pairs of terms and entities are as many as the words in contexts, twice. Where the flagged terms of all
+    two more scans, one for the ids and hashes of repeated rows and one counted map-side; pairs of terms and entities are as many as the words in contexts, twice. Where the flagged terms of all
     documents are few they are broadcast; beyond that texts that may hold an entity move once, to find the terms in them.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -183,3 +183,22 @@ def test_terms_that_reveal_a_group(spark, few, monkeypatch):
     assert found == {i: expected[i] for i, _ in rows}
     assert all("quorum" in found[k] and "wyvern" in found[10 + k] and "ferndale" in found[30 + k] for k in range(6))
     assert not any(found[i] for i in texts if 40 <= i < 202)
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_frequencies_count_different_rows(spark, few, monkeypatch):
+    monkeypatch.setattr(pii, "FEW", few)
+    rows = [(1, 7, "alpha beta alpha"), (1, 7, "alpha beta alpha"), (1, 8, "alpha"), (None, 7, "beta"), (None, 7, "beta"), (None, 7, "beta"), (2, 9, "beta gamma"), (3, 1, None)]
+    words = spark.createDataFrame(rows, "doc_id long, row long, text string").repartition(3)
+    wanted = spark.createDataFrame([("alpha",), ("beta",), ("delta",)], "term string")
+    assert {r["term"]: r["n_term"] for r in pii._frequencies(words, wanted).collect()} == {"alpha": 2, "beta": 3}
+
+
+def test_terms_do_not_move_with_rows(spark):
+    """What is shuffled for the frequencies grows with the terms, not with the rows that hold them."""
+    words = spark.range(2000).selectExpr("id AS doc_id", "id AS row", "'stone river cloud amber' AS text")
+    wanted = spark.createDataFrame([(w,) for w in "stone river cloud amber".split()], "term string")
+    told = pii._frequencies(words, pii.F.broadcast(wanted))
+    assert {tuple(r) for r in told.collect()} == {(w, 2000) for w in "stone river cloud amber".split()}
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc_id" not in plan.split("Generate")[0]
