@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from brindle.llm import components as rounds
 from brindle.llm import simhash
 from brindle.llm.components import components
 
@@ -112,6 +113,25 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("edges", [100_000, 100])
+def test_components_have_as_many_partitions_as_their_edges_need(spark, edges, monkeypatch):
+    r = np.random.default_rng(3)
+    pairs = [*r.integers(0, 1500, (300, 2)).tolist(), *[(k, k + 1) for k in range(2000, 2010)], *[(5000, 5000 + k) for k in range(1, 200)]]
+    monkeypatch.setattr(rounds, "EDGES", edges)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = components(spark.createDataFrame(pairs, "a long, b long"))
+        found, partitions = {x["node"]: x["root"] for x in out.collect()}, out.rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == roots({n for p in pairs if p[0] != p[1] for n in p}, pairs)
+    if edges > len(pairs):
+        assert partitions <= 2  # two parts of 16 before
+
+
 def test_near_dedup_keeps_one(spark):
     base = prose("base", 600)
     rows = [(5, base, 1), (3, base, 2), (3, base, 3), (7, base + " more", 4), (None, base, 5), (9, prose("other", 600), 6), (11, None, 7), (12, "", 8), (None, prose("alone", 600), 9)]
