@@ -103,7 +103,7 @@ class Dataset:
         return self._next(opaque.over_rows(self._in_order(), lambda rows: (r for r in rows if f(r)), self.df.schema))
 
     def map_partitions_with(self, f: Callable[[list[dict]], Iterable], schema: str | StructType) -> "Dataset":
-        """f(rows of a partition), also for empty ones. A task holds its partition; stream_partitions_with() doesn't."""
+        """f(rows of a partition), also for empty ones. A task holds its partition, as functions.rows says; stream_partitions_with() doesn't."""
         return self._next(opaque.over_partitions(self._in_order(), f, schema))
 
     def stream_partitions_with(self, f: Callable[[Iterator[dict]], Iterable], schema: str | StructType) -> "Dataset":

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .rows import Rows
+
 #: Rows in a batch that a function's results are sent back in.
 _ROWS = 4096
 
@@ -65,8 +67,13 @@ def over_rows(df: DataFrame, f: Callable[[Iterator[dict]], Iterable], schema: st
 
 
 def over_partitions(df: DataFrame, f: Callable[[list[dict]], Iterable], schema: str | StructType) -> DataFrame:
-    """f over each whole partition as a list, empty ones included."""
-    return over_rows(df, lambda rows: f(list(rows)), schema)
+    """f over each whole partition as a list, empty ones included; see functions.rows."""
+    schema = schema_of(df, schema)
+
+    def run(batches):
+        yield from _batches(f(Rows(batches=batches)), schema)
+
+    return df.mapInArrow(run, schema)
 
 
 def partials(df: DataFrame, f: Callable[[Iterator[dict]], Iterable]) -> DataFrame:
