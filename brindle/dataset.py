@@ -110,11 +110,10 @@ class Dataset:
         return self._next(opaque.over_rows(self._in_order(), f, schema))
 
     def glom(self, name: str = "rows") -> "Dataset":
-        """An array for each partition, of its values or of structs if there are several columns; empty partitions too."""
-        schema, one = self.df.schema, self.columns if len(self.columns) == 1 else None
+        """An array for each partition, of its values or of structs if there are several columns; empty partitions too. A task holds its partition, as Arrow values."""
+        schema, one = self.df.schema, len(self.columns) == 1
         kind = schema[0].dataType.simpleString() if one else schema.simpleString()
-        f = lambda rows: [([r[one[0]] for r in rows] if one else rows,)]
-        return self._next(opaque.over_partitions(self._in_order(), f, f"`{name}` array<{kind}>"))
+        return self._next(opaque.gathered(self._in_order(), f"`{name}` array<{kind}>", values=one))
 
     # sets
 

@@ -76,6 +76,23 @@ def over_partitions(df: DataFrame, f: Callable[[list[dict]], Iterable], schema:
     return df.mapInArrow(run, schema)
 
 
+def gathered(df: DataFrame, schema: str | StructType, values: bool) -> DataFrame:
+    """An array of each partition's rows, empty ones included: of the values of its one column, or of structs. The rows stay in Arrow's own form;
+    while they are put together a task holds them twice."""
+    schema = schema_of(df, schema)
+
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+        kind = arrow.field(0).type
+        pieces = [b.column(0) if values else b.to_struct_array() for b in batches]
+        pieces = [x if x.type == kind.value_type else x.cast(kind.value_type) for x in pieces]
+        whole = pa.concat_arrays(pieces) if pieces else pa.array([], kind.value_type)
+        pieces.clear()
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole, type=kind)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def partials(df: DataFrame, f: Callable[[Iterator[dict]], Iterable]) -> DataFrame:
     """f over each partition, its results pickled in the column value, numbered by partition and place."""
 

@@ -128,3 +128,37 @@ def test_rows_that_a_function_gives_back(session):
 
     assert session.range(40_000, partitions=2).map_partitions_with(f, "id long").values() == list(range(0, 80_000, 2))
     assert session.range(40_000, partitions=2).map_partitions_with(lambda rows: rows[:2] + rows[-1:], "id long").values() == [0, 1, 19_999, 20_000, 20_001, 39_999]
+
+
+def test_glom_makes_no_rows(session, monkeypatch):
+    d, taken = session.range(10), []
+    monkeypatch.setattr(type(d.df), "mapInArrow", lambda df, run, schema: taken.append(run) or df)
+    d.glom("keys")
+    tracemalloc.start()
+    out = list(taken[0](pa.RecordBatch.from_pydict({"id": pa.array(range(i, i + 10_000), pa.int64())}) for i in range(0, 300_000, 10_000)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [b.num_rows for b in out] == [1] and out[0].column(0).to_pylist() == [list(range(300_000))]
+    # the numbers alone take 32 bytes each as Python objects, 10 MB
+    assert peak < 2_000_000
+
+
+def test_glom_of_any_type(session):
+    columns = {
+        "n": "if(id % 3 = 0, null, id)",
+        "s": "repeat('é', cast(id as int))",
+        "d": "cast(id as decimal(38, 10)) / 3",
+        "t": "timestamp_seconds(id * 100000000)",
+        "l": "timestamp_seconds(id)::timestamp_ntz",
+        "a": "array(id, null)",
+        "m": "map(cast(id as string), id)",
+        "x": "if(id % 2 = 0, null, named_struct('a', id, 'b', array(named_struct('c', id))))",
+        "v": "null",
+    }
+    df = session.spark.range(0, 25, 1, 3).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+    parts = [df.where(f"spark_partition_id() = {k}").collect() for k in range(3)]
+    assert [r[0] for r in session.dataset(df).glom("rows").collect()] == parts
+    for c in columns:
+        assert [r[0] for r in session.dataset(df.select(c)).glom().collect()] == [[r[c] for r in p] for p in parts]
+    few = session.dataset(df.where("n = 20"))
+    assert [len(r[0]) for r in few.glom().collect()] == [0, 0, 1] and [r[0] for r in few.map("s").glom().collect()] == [[], [], ["é" * 20]]
